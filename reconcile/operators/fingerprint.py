@@ -29,8 +29,10 @@ def child_chunks(
 
     ``order`` must be a whole number that is unique within a key, as column,
     partition and key ordinals are; a chunk then holds at most ``chunk`` rows.
+    Repeated ordinals that overfill a chunk fail the job.
     """
     row = F.struct(*columns)
+    full = F.raise_error(F.lit("child ordinals are not unique")).cast("string")
     return (
         child.groupBy(*KEY, F.floor(F.col(order) / chunk).alias("chunk_no"))
         .agg(
@@ -41,7 +43,9 @@ def child_chunks(
             *KEY,
             "chunk_no",
             F.size("rows").cast("long").alias("n"),
-            F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON).alias("json"),
+            F.when(F.size("rows") > chunk, full)
+            .otherwise(F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON))
+            .alias("json"),
         )
     )
 
@@ -55,7 +59,7 @@ def child_list(
     folded = chunks.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
-        F.min_by(F.when(F.col("n") <= chunk, F.col("json")), "chunk_no").alias("first"),
+        F.min_by("json", "chunk_no").alias("first"),
         F.sort_array(F.collect_list(F.struct("chunk_no", F.sha2("json", 256).alias("d"))))
         .alias("ds"),
     )

@@ -45,12 +45,12 @@ def keys_for_changed_paths(
     # Direction 2: a known path ends with the changed path.  The scalar
     # subquery holds distinct lengths, at most the longest path many numbers.
     lengths = loose.agg(F.collect_set(F.length("path")).alias("ns")).scalar()
-    cuts = F.filter(lengths, lambda k: k <= F.length("path"))
-    pieces = known.select(
-        "path",
-        "normalized_key",
-        F.explode(F.transform(cuts, lambda k: F.substring("path", F.length("path") - k + 1, k)))
-        .alias("tail"),
+    cut = F.substring("path", F.length("path") - F.col("k") + 1, F.col("k"))
+    pieces = (
+        known.select("path", "normalized_key", lengths.alias("ns"))
+        .select("path", "normalized_key", F.explode("ns").alias("k"))
+        .filter(F.col("k") <= F.length("path"))
+        .select("path", "normalized_key", cut.alias("tail"))
     )
     shorter = pieces.join(
         loose.withColumnRenamed("path", "tail"), "tail", "left_semi"

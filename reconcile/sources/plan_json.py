@@ -35,11 +35,16 @@ def _from_wire(objects: DataFrame, prefix: str = "") -> DataFrame:
     return objects.select(*keep, *cols)
 
 
-def read_plans(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
-    """Plan objects as rows.  A checksum that is not 32 bytes fails the job."""
+def read_plans(
+    spark: SparkSession, path: str, layout: str = "document", multi_line: bool = True
+) -> DataFrame:
+    """Plan objects as rows.  A checksum that is not 32 bytes fails the job.
+
+    Documents are one per file (``multi_line``) or one per line.
+    """
     if layout == "lines":
         return _from_wire(spark.read.schema(PLAN_OBJECT).json(f"{path}/objects"))
-    docs = spark.read.schema(PLAN_DOC).option("mode", "FAILFAST").json(path, multiLine=True)
+    docs = spark.read.schema(PLAN_DOC).option("mode", "FAILFAST").json(path, multiLine=multi_line)
     rows = docs.select(
         "command", F.col("plannedAt").alias("planned_at"), F.explode("objects").alias("o")
     )

@@ -52,11 +52,13 @@ def _(v):
 
 
 @query("c4_invalid_components", r"""
-select path from (select path, string_split(path,'/') as p from tree_files
- join documents using (doc_id) where doc_id%8 in (0,7)) t
-where position('\' in p[4])>0 or p[1] in ('.','..')""")
+select database_name||'/'||schema_name||'/'||kind||'/'||case when toxic=1 then 'a\b' else '..' end
+ ||'.sql' as path from manifest join labels using (doc_id) where toxic=1 or quality=1""")
 def _(v):
-    return vd.invalid_components(v.tree_files)
+    name = F.when(C("toxic") == 1, "a\\b").when(C("quality") == 1, "..").otherwise(C("object_name"))
+    path = cat("database_name", "=/", "schema_name", "=/", "kind", "=/", name, "=.sql")
+    return vd.invalid_components(
+        v.manifest.join(v.table("labels"), "doc_id").select(path.alias("path")))
 
 
 @query("c5_overlong_paths", """
@@ -163,9 +165,9 @@ def _(v):
 select 'db' as database_name, 'sales/tables/o'||cast(l_orderkey as string) as normalized_key,
  string_agg('c'||l_linenumber||' '||lower(l_returnflag)||' '||(l_linestatus='F'), ','
   order by l_linenumber) as columns
-from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus='F') group by 1,2""")
+from items where l_orderkey in (select o_orderkey from orders where o_orderstatus='F') group by 1,2""")
 def _(v):
-    cols = v.table("lineitem").select(
+    cols = v.items.select(
         F.lit("db").alias("database_name"), F.lit("Sales").alias("schema_name"),
         cat("=O", "l_orderkey").alias("table_name"), cat("=C", "l_linenumber").alias("column_name"),
         F.upper("l_returnflag").alias("type_name"),

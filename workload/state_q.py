@@ -26,9 +26,9 @@ _STATE = f"""select 'db' as database_name, 'sales/tables/o'||o_orderkey as norma
  ',"keys":'||coalesce('['||k.items||']','null')||'}}' as state
 from orders o
 left join (select l_orderkey, string_agg({_ITEM}, ',' order by l_linenumber) as items
- from lineitem group by 1) c on c.l_orderkey=o.o_orderkey
+ from items group by 1) c on c.l_orderkey=o.o_orderkey
 left join (select l_orderkey, string_agg('{{"l_suppkey":'||l_suppkey||'}}', ',' order by l_linenumber)
- as items from lineitem where l_linestatus='F' group by 1) k on k.l_orderkey=o.o_orderkey"""
+ as items from items where l_linestatus='F' group by 1) k on k.l_orderkey=o.o_orderkey"""
 
 
 def _states(v, chunk=fp.CHUNK):
@@ -37,7 +37,7 @@ def _states(v, chunk=fp.CHUNK):
     orders = v.table("orders").select(
         *key("o_orderkey"), F.lit("tables").alias("kind"), C("o_orderstatus").alias("status"),
         F.when(C("o_custkey") % 2 != 0, cat("=c", "o_custkey")).alias("owner"))
-    lines = v.table("lineitem").select(
+    lines = v.items.select(
         *key("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
         "l_linestatus", F.lit(None).cast("string").alias("note"))
     return fp.canonical_state(orders, ["status", "owner"], {
@@ -62,9 +62,9 @@ select 'sales/tables/o'||l_orderkey as normalized_key, case when count(*)=1 then
  order by c)||'"]}' end as columns
 from (select l_orderkey, l_linenumber//2 as c, count(*) as n,
  string_agg('{"l_suppkey":'||l_suppkey||'}', ',' order by l_linenumber) as items
- from lineitem group by 1,2) t group by l_orderkey""")
+ from items group by 1,2) t group by l_orderkey""")
 def _(v):
-    lines = v.table("lineitem").select(
+    lines = v.items.select(
         F.lit("db").alias("database_name"),
         cat("=sales/tables/o", "l_orderkey").alias("normalized_key"), "l_linenumber", "l_suppkey")
     return fp.child_list(lines, "columns", "l_linenumber", ["l_suppkey"], 2).drop("database_name")
@@ -84,7 +84,7 @@ def _log_lines(v, blocks):
         C("o_orderkey").alias("k"), F.lit(0).alias("i"),
         cat("=COMMIT\x1fc", "o_orderkey", "=\x1fauthor", "o_custkey", "=\x1fd", "o_orderkey")
         .alias("line"))
-    body = v.table("lineitem").select(
+    body = v.items.select(
         C("l_orderkey").alias("k"), C("l_linenumber").alias("i"),
         cat("=db\\p", "l_partkey", "=.sql").alias("line"))
     pos = C("k") * 100 + C("i")
@@ -95,7 +95,7 @@ def _log_lines(v, blocks):
 
 _TOUCH = """select l_orderkey*100+l_linenumber as line_no, 'db/p'||l_partkey||'.sql' as path,
  'c'||o_orderkey as git_hash, 'author'||o_custkey as git_author, 'd'||o_orderkey as git_date
-from lineitem join orders on o_orderkey=l_orderkey"""
+from items join orders on o_orderkey=l_orderkey"""
 
 
 @query("f1_attach_commit", _TOUCH)
@@ -215,7 +215,7 @@ def _(v):
     path = work_path(v.spark, "plan-doc")
     schemas = ct.schema_actions(v.manifest, v.schemas_on_server)
     pj.write_plan_documents(v.plan, schemas, path)
-    return pj.read_plans(v.spark, path).select(
+    return pj.read_plans(v.spark, path, multi_line=False).select(
         *KEY, "object_path", "planned_action", "checksum", "exists")
 
 
