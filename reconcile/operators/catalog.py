@@ -92,18 +92,22 @@ def hydrate_parents(snapshot: DataFrame, live_indexes: DataFrame) -> DataFrame:
 
 
 def catalog_facts(catalog: DataFrame) -> DataFrame:
-    """One row per catalog key with its parent name; NULL when it has none."""
-    return catalog.groupBy(*KEY).agg(
-        F.max(F.nullif(F.col("parent_name"), F.lit(""))).alias("parent_name")
-    )
+    """One row per catalog key with the struct ``fact`` (``parent_name``, NULL
+    when it has none).
+
+    The struct is a single aggregate, so plans that need presence only and
+    plans that need the parent share one shuffle of the catalog.
+    """
+    parent = F.nullif(F.col("parent_name"), F.lit("")).alias("parent_name")
+    return catalog.groupBy(*KEY).agg(F.max(F.struct(parent)).alias("fact"))
 
 
 def with_exists(manifest: DataFrame, facts: DataFrame) -> DataFrame:
     """Manifest rows with ``exists`` and the catalog's ``parent_name``."""
-    marked = facts.select(*KEY, "parent_name", F.lit(True).alias("_in_catalog"))
-    return manifest.join(marked, KEY, "left").withColumn(
-        "exists", F.coalesce("_in_catalog", F.lit(False))
-    ).drop("_in_catalog")
+    return manifest.join(facts, KEY, "left").withColumns({
+        "exists": F.col("fact").isNotNull(),
+        "parent_name": F.col("fact.parent_name"),
+    }).drop("fact")
 
 
 def with_prior(rows: DataFrame, latest: DataFrame) -> DataFrame:

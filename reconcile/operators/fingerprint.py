@@ -22,53 +22,79 @@ def fingerprint(kind: Column, state: Column) -> Column:
     return F.sha2(F.concat(kind, F.lit(":"), F.nullif(state, F.lit(""))), 256)
 
 
-def child_chunks(
-    child: DataFrame, order: str, columns: list[str], chunk: int = CHUNK
-) -> DataFrame:
-    """Ordered JSON arrays of child rows, one row per key and chunk.
-
-    ``order`` must be a whole number that is unique within a key, as column,
-    partition and key ordinals are; a chunk then holds at most ``chunk`` rows.
-    Repeated ordinals that overfill a chunk fail the job.
-    """
-    row = F.struct(*columns)
+def _array_json(chunk: int) -> Column:
+    """Ordered JSON array of the collected ``rows``."""
     full = F.raise_error(F.lit("child ordinals are not unique")).cast("string")
-    return (
-        child.groupBy(*KEY, F.floor(F.col(order) / chunk).alias("chunk_no"))
-        .agg(
-            F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), row.alias("_r"))))
-            .alias("rows")
-        )
+    text = F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON)
+    return F.when(F.size("rows") > chunk, full).otherwise(text)
+
+
+def _collected(order: str, columns: list[str]) -> Column:
+    row = F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_r"))
+    return F.sort_array(F.collect_list(row)).alias("rows")
+
+
+def _first_chunk(child: DataFrame, order: str, columns: list[str], chunk: int) -> DataFrame:
+    """Ordinals below ``chunk``: for nearly all objects this is everything, and
+    the result is already partitioned by key."""
+    rows = child.filter((F.col(order) >= 0) & (F.col(order) < chunk))
+    return rows.groupBy(*KEY).agg(_collected(order, columns)).select(
+        *KEY, F.size("rows").cast("long").alias("n0"), _array_json(chunk).alias("json0")
+    )
+
+
+def _later_chunks(child: DataFrame, order: str, columns: list[str], chunk: int) -> DataFrame:
+    """Digests of all other chunks; only digests and one text meet per key."""
+    rows = child.filter((F.col(order) < 0) | (F.col(order) >= chunk))
+    chunks = (
+        rows.groupBy(*KEY, F.floor(F.col(order) / chunk).alias("chunk_no"))
+        .agg(_collected(order, columns))
         .select(
-            *KEY,
-            "chunk_no",
-            F.size("rows").cast("long").alias("n"),
-            F.when(F.size("rows") > chunk, full)
-            .otherwise(F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON))
-            .alias("json"),
+            *KEY, "chunk_no", F.size("rows").cast("long").alias("n"),
+            _array_json(chunk).alias("json"),
         )
     )
+    return chunks.groupBy(*KEY).agg(
+        F.sum("n").alias("n1"),
+        F.min_by("json", "chunk_no").alias("json1"),
+        F.collect_list(F.struct("chunk_no", F.sha2("json", 256).alias("d"))).alias("ds"),
+    )
 
 
-def child_list(
-    child: DataFrame, name: str, order: str, columns: list[str], chunk: int = CHUNK
-) -> DataFrame:
-    """One JSON value per key: the array itself, or count and chunk digests."""
-    chunks = child_chunks(child, order, columns, chunk)
-    # Only digests and the text of a single-chunk list cross this shuffle.
-    folded = chunks.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("k"),
-        F.sum("n").alias("n"),
-        F.min_by("json", "chunk_no").alias("first"),
-        F.sort_array(F.collect_list(F.struct("chunk_no", F.sha2("json", 256).alias("d"))))
-        .alias("ds"),
+def _list_value() -> Column:
+    """The array text when there is one chunk, else row count and digests."""
+    none = F.array().cast("array<struct<chunk_no:bigint,d:string>>")
+    first = F.struct(
+        F.lit(0).cast("long").alias("chunk_no"), F.sha2("json0", 256).alias("d")
     )
+    later = F.coalesce("ds", none)
+    every = F.sort_array(
+        F.when(F.col("json0").isNull(), later).otherwise(F.concat(F.array(first), later))
+    )
+    rows = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
     digests = F.concat(
-        F.lit('{"rows":'), F.col("n").cast("string"), F.lit(',"chunks":["'),
-        F.array_join(F.transform("ds", lambda d: d["d"]), '","'), F.lit('"]}'),
+        F.lit('{"rows":'), rows.cast("string"), F.lit(',"chunks":["'),
+        F.array_join(F.transform(every, lambda d: d["d"]), '","'), F.lit('"]}'),
+    )
+    return (
+        F.when(F.col("ds").isNull(), F.col("json0"))
+        .when(F.col("json0").isNull() & (F.size("ds") == 1), F.col("json1"))
+        .otherwise(digests)
     )
-    value = F.when(F.col("k") == 1, F.col("first")).otherwise(digests)
-    return folded.select(*KEY, value.alias(name))
+
+
+def child_list(
+    child: DataFrame, name: str, order: str, columns: list[str], chunk: int = CHUNK
+) -> DataFrame:
+    """One JSON value per key: the array itself, or count and chunk digests.
+
+    ``order`` must be a whole number that is unique within a key, as column,
+    partition and key ordinals are; a chunk then holds at most ``chunk`` rows.
+    Repeated ordinals that overfill a chunk fail the job.
+    """
+    first = _first_chunk(child, order, columns, chunk)
+    later = _later_chunks(child, order, columns, chunk)
+    return first.join(later, KEY, "full_outer").select(*KEY, _list_value().alias(name))
 
 
 def canonical_state(
@@ -79,12 +105,18 @@ def canonical_state(
 ) -> DataFrame:
     """``objects`` (keys, ``kind``, attributes) with ``state`` and ``live_checksum``.
 
-    ``children`` maps a list name to (rows, order column, columns).  A missing
-    child list is NULL in the JSON, as are NULL attributes.
+    ``children`` maps a list name to (rows, order column, columns), see
+    :func:`child_list`.  A missing child list is NULL in the JSON, as are NULL
+    attributes.  All joins use the partitioning by key the lists come in.
     """
     out = objects.select(*KEY, "kind", F.to_json(F.struct(*attributes), _JSON).alias("_attrs"))
     for name, (df, order, cols) in children.items():
-        out = out.join(child_list(df, name, order, cols, chunk), KEY, "left")
+        out = (
+            out.join(_first_chunk(df, order, cols, chunk), KEY, "left")
+            .join(_later_chunks(df, order, cols, chunk), KEY, "left")
+            .withColumn(name, _list_value())
+            .drop("n0", "json0", "n1", "json1", "ds")
+        )
     lists = [
         F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("null"))) for n in children
     ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from reconcile import KEY
-from reconcile.functions import paths, scenarios as sc
+from reconcile.functions import scenarios as sc
 from reconcile.functions.checksums import present
 from reconcile.operators import catalog as ct, drift as dr, history as hs, transitions as tr
 
@@ -50,20 +50,23 @@ def scenario_attrs(df: DataFrame) -> DataFrame:
 def compute_plan(
     manifest: DataFrame,
     catalog: DataFrame,
-    history: DataFrame,
+    history: DataFrame | None,
     object_ddl: DataFrame,
     transitions: DataFrame,
     live: DataFrame | Callable[[DataFrame], DataFrame],
     force_full: bool = False,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """Plan rows for all databases at once.
 
     Every input is shuffled once on the key, after map-side aggregation where
     it has many rows per key, and all joins share that partitioning.  ``live``
     gives ``live_checksum`` per key, or is called with the suspect keys so that
-    only those are fingerprinted.
+    only those are fingerprinted.  ``latest`` replaces the pass over the log
+    where a maintained state of it exists (``streaming.tail``).
     """
-    latest = hs.latest_object_history(history)
+    if latest is None:
+        latest = hs.latest_object_history(history)
     flagged = dr.suspects(latest, object_ddl, force_full)
     live_rows = live(dr.suspect_keys(flagged)) if callable(live) else live
     drifted = dr.drift(flagged, live_rows).select(*KEY, "checksum", "drift")
@@ -72,8 +75,7 @@ def compute_plan(
     known = ct.with_exists(manifest, facts)
     tables = ct.with_prior(known.filter(F.col("kind") == "tables"), latest)
     # Only triggers look up a parent, so only they travel to its partition.
-    kind = paths.split_key(F.col("normalized_key"))["kind"]
-    parents = ct.parent_facts(facts.filter(kind == "triggers"), tables)
+    parents = ct.parent_facts(known.filter(F.col("kind") == "triggers"), tables)
 
     recorded = F.col("_recorded")
     rows = (

@@ -53,7 +53,8 @@ class Views:
         return self.table("documents").count()
 
     @cached_property
-    def manifest(self) -> DataFrame:
+    def scripts(self) -> DataFrame:
+        """Manifest with the script text."""
         kind = F.element_at(
             F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % 9 + 1).cast("int")
         )
@@ -69,13 +70,12 @@ class Views:
             key.alias("normalized_key"),
             cat(db, "=/", key, "=.sql").alias("object_path"),
             sha(F.col("text")).alias("checksum"),
+            F.col("text").alias("content"),
         )
 
     @property
-    def scripts(self) -> DataFrame:
-        """Manifest with the script text."""
-        docs = self.table("documents").select("doc_id", F.col("text").alias("content"))
-        return self.manifest.join(docs, "doc_id")
+    def manifest(self) -> DataFrame:
+        return self.scripts.drop("content")
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -97,15 +97,22 @@ class Views:
     @cached_property
     def history(self) -> DataFrame:
         e = F.col("event_id")
-        stale = sha(cat("=stale", "normalized_key"))
-        checksum = F.when(e % 11 == 0, "").when(e % 7 == 0, stale).otherwise(F.col("checksum"))
-        live = F.when(e % 13 != 0, sha(F.concat("kind", F.lit(":"), "content")))
+        # Texts are digested before the join, once per document.
+        docs = self.scripts.select(
+            "doc_id", "database_name", "normalized_key", "checksum",
+            sha(F.concat("kind", F.lit(":"), "content")).alias("live"),
+            sha(cat("=stale", "normalized_key")).alias("stale"),
+        )
+        checksum = (
+            F.when(e % 11 == 0, "").when(e % 7 == 0, F.col("stale")).otherwise(F.col("checksum"))
+        )
+        live = F.when(e % 13 != 0, F.col("live"))
         event = (
             F.when(F.col("event_type") == "click", "adopted")
             .when(F.col("event_type") == "error", "failed")
             .otherwise("applied")
         )
-        return self._events_on_docs.join(self.scripts, "doc_id").select(
+        return self._events_on_docs.join(docs, "doc_id").select(
             e.alias("id"), "database_name", "normalized_key", F.lit("object").alias("kind"),
             checksum.alias("checksum"), live.alias("live_definition_checksum"),
             e.alias("applied_ddl_version"), event.alias("event"), F.col("ts").alias("created_at"),
@@ -225,10 +232,10 @@ class Views:
     @cached_property
     def items(self) -> DataFrame:
         """Line items folded to one row per line number, which repeats in an order."""
-        cols = ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"]
-        return self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            *[F.min(c).alias(c) for c in cols]
-        )
+        # Flags are folded as code points, which keeps the aggregation hashed.
+        numbers = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")]
+        flags = [F.char(F.min(F.ascii(c))).alias(c) for c in ("l_returnflag", "l_linestatus")]
+        return self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*numbers, *flags)
 
     @cached_property
     def phase_runs(self) -> DataFrame:
