@@ -22,7 +22,9 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: str | int = 8, app: str = "reconcile") -> SparkSession:
+def local_session(
+    cores: str | int = 8, app: str = "reconcile", shared: str | None = None
+) -> SparkSession:
     """Session for tests and the local benchmark."""
     b = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,6 +33,8 @@ def local_session(cores: str | int = 8, app: str = "reconcile") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
     )
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -38,19 +42,23 @@ def local_session(cores: str | int = 8, app: str = "reconcile") -> SparkSession:
     return spark
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can write to, from ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="reconcile-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="reconcile-")
+    return _local_dirs[sc.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

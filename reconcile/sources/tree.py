@@ -9,6 +9,24 @@ from reconcile.functions import checksums as ck, paths
 SQL_GLOB = "*.[sS][qQ][lL]"
 
 
+# Deepest component of a script path: database/schema/tables/_migrations/table/file.
+LAYOUT_DEPTH = 6
+
+
+def _hidden_globs(spark: SparkSession, root: str) -> list[str]:
+    """Globs for names starting with ``_`` or ``.``, which Spark's listing skips
+    below a root but accepts as roots.  Only globs that match are returned."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for depth in range(LAYOUT_DEPTH):
+        glob = root.rstrip("/") + "/*" * depth + "/[_.]*"
+        path = jvm.org.apache.hadoop.fs.Path(glob)
+        if path.getFileSystem(conf).globStatus(path):
+            out.append(glob)
+    return out
+
+
 def scan_tree(spark: SparkSession, root: str, glob: str = SQL_GLOB) -> DataFrame:
     """``path`` (relative, ``/``), ``content``, ``length`` of files below ``root``.
 
@@ -19,12 +37,12 @@ def scan_tree(spark: SparkSession, root: str, glob: str = SQL_GLOB) -> DataFrame
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .load(root)
+        .load([root, *_hidden_globs(spark, root)])
     )
     # The absolute form may carry a scheme, and one or three slashes after it.
-    base = F.lit(root.split("://", 1)[-1].strip("/") + "/")
-    at = F.locate(root.split("://", 1)[-1].strip("/") + "/", F.col("path"))
-    rel = F.substring("path", at + F.length(base), F.lit(2147483647))
+    base = root.split("://", 1)[-1].strip("/") + "/"
+    start = F.locate(base, F.col("path")) + F.lit(len(base))
+    rel = F.substring("path", start, F.lit(2147483647))
     return files.select(rel.alias("path"), "content", "length")
 
 
@@ -33,7 +51,8 @@ def classify_paths(files: DataFrame) -> DataFrame:
 
 
 def manifest_of(files: DataFrame) -> DataFrame:
-    """Manifest rows of the object scripts in a scanned tree."""
+    """Manifest rows of the object scripts in a scanned tree.  ``content`` is NULL
+    for a script that is not valid UTF-8; its checksum covers the raw bytes."""
     p = F.split("path", "/")
     name = paths.strip_sql_ext(p[3])
     return classify_paths(files).filter("script_kind = 'object'").select(
@@ -44,7 +63,7 @@ def manifest_of(files: DataFrame) -> DataFrame:
         F.lower(name).alias("object_name"),
         F.col("path").alias("object_path"),
         ck.content_checksum_bytes(F.col("content")).alias("checksum"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
