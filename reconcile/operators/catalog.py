@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from reconcile import KEY
-from reconcile.functions import kinds as kd, paths, text
+from reconcile.functions import paths, text
 from reconcile.functions.checksums import present
 
 SCOPE = ["database_name", "schema_name", "kind", "object_name"]
@@ -46,7 +46,13 @@ def catalog_parents(objects: DataFrame) -> DataFrame:
         F.col("object_id").alias("parent_object_id"),
         F.lower("object_name").alias("parent_name"),
     )
-    return objects.join(parents, ["database_name", "parent_object_id"], "left").withColumn(
+    # Most objects have no parent; they take no part in the join.
+    children = objects.filter(F.col("parent_object_id").isNotNull())
+    found = children.join(parents, ["database_name", "parent_object_id"], "left")
+    roots = objects.filter(F.col("parent_object_id").isNull()).withColumn(
+        "parent_name", F.lit(None).cast("string")
+    )
+    return found.unionByName(roots).withColumn(
         "parent_name", F.coalesce("parent_name", F.lit(""))
     )
 
@@ -167,10 +173,14 @@ def table_columns(columns: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def column_lists(columns: DataFrame) -> DataFrame:
-    """Per table the ordered list of (name, type, nullable); a table's column
-    count is bounded by the source database (30,000 for wide tables)."""
+    """Per table the ordered list of (name, type, nullable).  Column names are
+    unique in a table and the source database limits their number (30,000 for
+    wide tables), which bounds the list; repeats fold before it is built."""
+    once = columns.groupBy(*KEY, "column_name").agg(
+        F.min("type_name").alias("type_name"), F.min("nullable").alias("nullable")
+    )
     item = F.struct("column_name", "type_name", "nullable")
-    return columns.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
+    return once.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
 
 
 def ownership(manifest: DataFrame, catalog: DataFrame, history: DataFrame) -> DataFrame:
@@ -226,7 +236,3 @@ def provable_empty(kinds: list[str]) -> bool:
     """Whether an empty object probe proves an empty scope: type and index rows
     live in other tables than plain objects."""
     return not any(k in ("types", "indexes") for k in kinds)
-
-
-def managed_kind_filter(df: DataFrame) -> DataFrame:
-    return df.filter(kd.is_managed(F.col("kind")))

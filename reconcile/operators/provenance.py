@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reconcile.functions import checksums as ck, paths
+from reconcile.operators.ordered import fill_forward
 
 SEP = "\x1f"
 PREFIX = "COMMIT" + SEP
@@ -24,40 +25,19 @@ def attach_commit(lines: DataFrame) -> DataFrame:
     """Carry the last header forward onto path lines.
 
     ``lines``: file, block, line_no, line, ordered by (block, line_no) within a
-    file; a block is one input split or any other bounded run of lines.  The
-    fill is done inside blocks in parallel; the header a block inherits comes
-    from a second, tiny pass over one row per block.
+    file; a block is one input split or any other bounded run of lines, so one
+    huge log is filled by many tasks.
     """
     parsed = lines.select(
         "file", "block", "line_no", F.trim("line").alias("line")
     ).filter(F.col("line") != "").withColumn("header", parse_header(F.col("line")))
-    block = Window.partitionBy("file", "block").orderBy("line_no")
-    filled = parsed.withColumn(
-        "inner",
-        F.last("header", ignorenulls=True).over(
-            block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    )
-    ends = parsed.groupBy("file", "block").agg(
-        F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_no"))).alias("end")
-    )
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = ends.select(
-        "file", "block", F.last("end", ignorenulls=True).over(before).alias("carry")
-    )
-    commit = F.coalesce("inner", "carry")
-    return (
-        filled.filter(F.col("header").isNull())
-        .join(carry, ["file", "block"], "left")
-        .withColumn("commit", commit)
-        .filter(F.col("commit").isNotNull())
-        .select(
-            "file", "block", "line_no",
-            paths.forward_slashes(F.col("line")).alias("path"),
-            "commit.git_hash", "commit.git_author", "commit.git_date",
-        )
+    filled = fill_forward(parsed, ["file"], "block", "line_no", "header", "commit")
+    return filled.filter(
+        F.col("header").isNull() & F.col("commit").isNotNull()
+    ).select(
+        "file", "block", "line_no",
+        paths.forward_slashes(F.col("line")).alias("path"),
+        "commit.git_hash", "commit.git_author", "commit.git_date",
     )
 
 

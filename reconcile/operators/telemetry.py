@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reconcile.functions import text
+from reconcile.operators.ordered import BLOCK, previous
 
 # How each timing column of parallel runs combines.
 MERGE_MAX = ["connect_ms", "parallel_wall_ms"]
@@ -277,8 +278,11 @@ def timing_report(runs: DataFrame, base: str = "baseline", actual: str = "actual
 
 
 def timing_history(runs: DataFrame, order: str = "run") -> DataFrame:
-    """Each run against the one before it, for more than two runs."""
-    w = Window.partitionBy("scenario", "phase").orderBy(order)
-    return runs.withColumn("previous_ms", F.lag("ms").over(w)).withColumn(
-        "delta", text.delta_ms_text(F.col("previous_ms"), F.col("ms"))
+    """Each run against the one before it, for more than two runs.  ``order``
+    is a run number; one scenario may have any number of runs."""
+    blocked = runs.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    return (
+        previous(blocked, ["scenario", "phase"], "_block", order, "ms", "previous_ms")
+        .drop("_block")
+        .withColumn("delta", text.delta_ms_text(F.col("previous_ms"), F.col("ms")))
     )

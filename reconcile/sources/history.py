@@ -14,7 +14,8 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_history(records: DataFrame, path: str, after_id: int = 0) -> None:
-    """Append ``records`` with ids above ``after_id``.
+    """Append ``records`` with ids above ``after_id``, one folder per row kind
+    so that object and change-script lookups each read only their part.
 
     The fingerprint guard runs in the same job, so a violation writes nothing.
     Records that bring an ``id`` keep it; others are numbered per partition,
@@ -25,7 +26,7 @@ def append_history(records: DataFrame, path: str, after_id: int = 0) -> None:
         rows = rows.withColumn(
             "id", F.monotonically_increasing_id() + F.lit(after_id + 1)
         )
-    conform(rows, HISTORY).write.mode("append").parquet(path)
+    conform(rows, HISTORY).write.mode("append").partitionBy("kind").parquet(path)
 
 
 def last_id(history: DataFrame) -> int:

@@ -74,13 +74,38 @@ def upsert_query(updates: DataFrame, state: str, checkpoint: str, trigger: dict
     )
 
 
-def read_object_ddl(spark: SparkSession, state: str) -> DataFrame:
-    """Fold the batches: the highest version of an object is its state."""
-    return spark.read.parquet(state).groupBy(*NAME).agg(
+def _fold(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*NAME).agg(
         F.max("ddl_version").alias("ddl_version"), F.max("updated_at").alias("updated_at")
     )
 
 
+def read_object_ddl(
+    spark: SparkSession, state: str, base: str | None = None, after: int = -1
+) -> DataFrame:
+    """Fold the batches: the highest version of an object is its state.
+
+    With a compacted ``base`` only batches past ``after`` are read from ``state``.
+    """
+    rows = spark.read.parquet(state).filter(F.col("batch_id") > after).drop("batch_id")
+    return _fold(rows if base is None else rows.unionByName(spark.read.parquet(base)))
+
+
+def compact_object_ddl(
+    spark: SparkSession, state: str, target: str, base: str | None = None, after: int = -1
+) -> int:
+    """Write the folded state to ``target`` and return the last batch in it,
+    the ``after`` of later reads.  Batches that arrive meanwhile stay out."""
+    ids = spark.read.parquet(state).agg(F.max("batch_id")).first()
+    last = after if ids[0] is None else max(after, ids[0])
+    rows = spark.read.parquet(state).filter(F.col("batch_id").between(after + 1, last))
+    rows = rows.drop("batch_id")
+    if base is not None:
+        rows = rows.unionByName(spark.read.parquet(base))
+    _fold(rows).write.mode("errorifexists").parquet(target)
+    return last
+
+
 def stream_suspects(events: DataFrame, latest: DataFrame) -> DataFrame:
     """Change events joined with the recorded version of their object: rows
     whose live state may have moved.  ``events``: keys and ``ddl_version``."""

@@ -241,6 +241,11 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path, rows):
     got = ch.read_object_ddl(spark, state)
     assert dict(rows(got, "object_name", "ddl_version")) == want
     assert spark.read.parquet(state).select("batch_id").distinct().count() >= 3
+    base = str(tmp_path / "compacted")
+    last = ch.compact_object_ddl(spark, state, base)
+    assert last >= 2
+    again = ch.read_object_ddl(spark, state, base, last)
+    assert dict(rows(again, "object_name", "ddl_version")) == want
 
 
 def test_history_tail_stream(spark, tmp_path, rows):

@@ -180,6 +180,22 @@ def test_commit_carry_crosses_blocks(spark, lines, block):
     assert got == fill_oracle(lines)
 
 
+@CONFIG
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.sampled_from([None, 1, 2])),
+                unique_by=lambda t: t[:2], max_size=60), st.integers(1, 9))
+def test_previous_crosses_blocks(spark, data, block):
+    from reconcile.operators.ordered import previous
+
+    df = spark.createDataFrame([(g, o // block, o, v) for g, o, v in data],
+                               "g int, b bigint, o int, v int")
+    got = {(r.g, r.o): r.p for r in previous(df, ["g"], "b", "o", "v", "p").collect()}
+    want, last = {}, {}
+    for g, o, v in sorted(data, key=lambda t: t[:2]):
+        want[(g, o)] = last.get(g)
+        last[g] = v
+    assert got == want
+
+
 def test_layout_prefix_and_latest(spark, rows):
     df = spark.createDataFrame(
         [(1, "sql/a", "h1", "x", "d"), (2, "sql/a", "h0", "y", "d"), (3, "b", "h0", "y", "d")],
