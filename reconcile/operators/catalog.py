@@ -8,6 +8,7 @@ from reconcile import KEY
 from reconcile.functions import paths, text
 from reconcile.functions.checksums import present
 
+MAX_TABLE_COLUMNS = 30000   # limit of a wide table in the source database
 SCOPE = ["database_name", "schema_name", "kind", "object_name"]
 OBJECT_KINDS = [
     "tables", "views", "procedures", "functions", "triggers", "queues", "synonyms",
@@ -180,7 +181,14 @@ def column_lists(columns: DataFrame) -> DataFrame:
         F.min("type_name").alias("type_name"), F.min("nullable").alias("nullable")
     )
     item = F.struct("column_name", "type_name", "nullable")
-    return once.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
+    lists = once.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
+    empty = F.array().cast(lists.schema["columns"].dataType)
+    over = F.raise_error(F.lit("too many columns in one table")).cast("string")
+    return lists.withColumn(
+        "columns",
+        F.when(F.size("columns") <= MAX_TABLE_COLUMNS, F.col("columns"))
+        .otherwise(F.when(over.isNull(), empty)),
+    )
 
 
 def ownership(manifest: DataFrame, catalog: DataFrame, history: DataFrame) -> DataFrame:

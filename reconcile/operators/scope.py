@@ -102,15 +102,23 @@ def git_scope(
     )
 
 
+FLAT_DIGEST_PATHS = 200_000
+
+
 def layout_digest(files: DataFrame, fan_out: int = 4096) -> DataFrame:
     """One digest over the set of script paths.
 
     Paths are spread over ``fan_out`` buckets by their hash, each bucket is
     digested from its sorted, length-prefixed paths, and the bucket digests are
     digested in bucket order.  Buckets are even whatever the tree looks like,
-    so no task sees more than ``1/fan_out`` of the paths.  ``fan_out=1`` is the
-    flat digest of the sorted list, for trees small enough for one task.
+    so no task sees more than about ``1/fan_out`` of the paths; raise
+    ``fan_out`` with the tree, it is part of the digest's definition.
+
+    ``fan_out=1`` is the flat digest of the sorted list.  It passes through one
+    task and is refused for more than ``FLAT_DIGEST_PATHS`` paths.
     """
+    if fan_out == 1 and files.limit(FLAT_DIGEST_PATHS + 1).count() > FLAT_DIGEST_PATHS:
+        raise ValueError("too many paths for a flat digest: use a larger fan_out")
     bucket = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long") % fan_out
     per_bucket = (
         files.select("path")
@@ -232,9 +240,11 @@ def choose_source(candidates: DataFrame) -> DataFrame:
 
 def choose_changed(candidates: DataFrame, prefix: str = "sql/") -> DataFrame:
     """Normalised changed paths of the winning source; none for a full inspect."""
-    win = choose_source(candidates).filter(~F.col("full_inspect"))
+    win = choose_source(candidates).select(
+        F.when(~F.col("full_inspect"), F.col("source"))
+    ).scalar()
     return (
-        candidates.join(win.select("source"), "source", "left_semi")
+        candidates.filter(F.col("source") == win)
         .select("source", paths.normalize_path(F.col("path"), prefix).alias("path"))
         .filter(F.col("path").isNotNull())
     )

@@ -101,6 +101,14 @@ def test_layout_digest(spark, names):
     assert sp.layout_digest(df, fan_out=7).first().layout_digest == bucket_digest(names, 7)
 
 
+def test_flat_digest_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sp, "FLAT_DIGEST_PATHS", 2)
+    df = spark.createDataFrame([(x,) for x in "abc"], "path string")
+    with pytest.raises(ValueError, match="fan_out"):
+        sp.layout_digest(df, fan_out=1)
+    assert sp.layout_digest(df, fan_out=2).first().scripts == 3
+
+
 def test_layout_digest_separates_paths(spark):
     one = spark.createDataFrame([("a",), ("bc",)], "path string")
     two = spark.createDataFrame([("ab",), ("c",)], "path string")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reconcile.operators import gate as gt, telemetry as tm
 from reconcile.plans.release_gate import release_gate
+from .catalog_q import _CLOSURE
 from .registry import query
 
 C = F.col
@@ -45,7 +46,17 @@ def _(v):
     return gt.evaluate_gate(problems, v.delta, plan_wall_ms=600, max_plan_wall_ms=500)
 
 
-@query("i12_release_gate")
+_GATE = _CLOSURE + ", " + _PROBLEMS.replace(
+    "left join delta d on d.snapshot_key=",
+    "left join (select database_name||'/'||normalized_key as snapshot_key from closure) d"
+    " on d.snapshot_key=")
+
+
+@query("i12_release_gate", f"""{_GATE} select count(*)=0 as passed, count(*) as problems,
+ count(*) filter (category='unexpected') as unexpected,
+ count(*) filter (category='risky') as risky, false as plan_blocked,
+ cast(null as varchar) as slo_message, (select count(*) from closure) as delta_key_count
+from problems""")
 def _(v):
     problems, verdict = release_gate(
         v.snapshot_base, v.snapshot_cur, v.manifest, v.authored, v.catalog, v.changed)
