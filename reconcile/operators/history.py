@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reconcile import KEY
 from reconcile.functions import checksums as ck, kinds, paths
@@ -72,16 +72,19 @@ def invalid_checksums(latest: DataFrame) -> DataFrame:
     )
 
 
-def decoded_checksums(latest: DataFrame, repair: bool = False) -> DataFrame:
-    """``checksum`` replaced by its decoded value.  An undecodable value fails
-    the job, or becomes the zero digest when ``repair`` is set."""
-    decoded = ck.decode_checksum(F.col("checksum"))["value"]
+def decoded(checksum: Column, repair: bool = False) -> Column:
+    """Decoded checksum of the row's key.  An undecodable value fails the job,
+    or becomes the zero digest when ``repair`` is set."""
     bad = F.lit(ck.ZERO_DIGEST) if repair else F.raise_error(
         F.format_string(
             "audit history checksum for %s is undecodable", F.col("normalized_key")
         )
     ).cast("string")
-    return latest.withColumn("checksum", F.coalesce(decoded, bad))
+    return F.coalesce(ck.decode_checksum(checksum)["value"], bad)
+
+
+def decoded_checksums(latest: DataFrame, repair: bool = False) -> DataFrame:
+    return latest.withColumn("checksum", decoded(F.col("checksum"), repair))
 
 
 def append_history(history: DataFrame, records: DataFrame) -> DataFrame:

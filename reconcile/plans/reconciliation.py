@@ -56,6 +56,7 @@ def compute_plan(
     live: DataFrame | Callable[[DataFrame], DataFrame],
     force_full: bool = False,
     latest: DataFrame | None = None,
+    repair: bool = False,
 ) -> DataFrame:
     """Plan rows for all databases at once.
 
@@ -64,6 +65,9 @@ def compute_plan(
     gives ``live_checksum`` per key, or is called with the suspect keys so that
     only those are fingerprinted.  ``latest`` replaces the pass over the log
     where a maintained state of it exists (``streaming.tail``).
+
+    A managed key whose recorded checksum cannot be decoded fails the plan, or
+    counts as never recorded when ``repair`` is set.
     """
     if latest is None:
         latest = hs.latest_object_history(history)
@@ -77,10 +81,12 @@ def compute_plan(
     # Only triggers look up a parent, so only they travel to its partition.
     parents = ct.parent_facts(known.filter(F.col("kind") == "triggers"), tables)
 
-    recorded = F.col("_recorded")
+    # Decoded after the join, so log rows of unmanaged keys cannot fail the plan.
+    recorded = hs.decoded(F.col("_recorded"), repair)
     rows = (
         known.join(drifted.withColumnRenamed("checksum", "_recorded"), KEY, "left")
-        .withColumn("prior", F.when(present(recorded), recorded))
+        .withColumn("_recorded", F.when(F.col("_recorded").isNotNull(), recorded))
+        .withColumn("prior", F.when(present(F.col("_recorded")), F.col("_recorded")))
         .join(tr.transition_counts(transitions), KEY, "left")
         .join(parents, KEY, "left")
         .withColumns({

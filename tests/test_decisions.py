@@ -158,6 +158,107 @@ def test_plan_and_execution(spark, rows):
         ("p3", "migration"), ("s/tables/new", "object")]
 
 
+def test_undecodable_checksum(spark, rows):
+    manifest, catalog, history, ddl, steps, live = _plan_inputs(spark)
+    bad = history.withColumn("checksum", F.when(
+        F.col("normalized_key") == "s/views/v2", "zz").otherwise(F.col("checksum")))
+    with pytest.raises(Exception, match="checksum for s/views/v2 is undecodable"):
+        compute_plan(manifest, catalog, bad, ddl, steps, live).collect()
+    fixed = compute_plan(manifest, catalog, bad, ddl, steps, live, repair=True)
+    assert dict(rows(fixed, "normalized_key", "scenario"))["s/views/v2"] == "adopt"
+    # A log row of an unmanaged key is never decoded.
+    others = manifest.filter("normalized_key <> 's/views/v2'")
+    assert compute_plan(others, catalog, bad, ddl, steps, live).count() == 6
+
+
+def plan_oracle(manifest, catalog, history, ddl, steps, live):
+    """The plan as nested loops over small lists."""
+    cat = {}
+    for db, key, parent in catalog:
+        cat[(db, key)] = max(cat.get((db, key)) or "", parent or "") or None
+    last = {}
+    for i, db, key, kind, checksum, recorded, version, event in sorted(history):
+        if kind == "object" and event in ("applied", "adopted"):
+            last[(db, key)] = (checksum, recorded, version)
+    out = {}
+    for db, key, _, schema, kind, _, checksum in manifest:
+        k = (db, key)
+        sums, recorded, version = last.get(k, (None, None, None))
+        prior = sums or None
+        drift = False
+        if prior:
+            suspect = version is None or ddl.get(k, 0) > version
+            drift = recorded is None or (suspect and live.get(k) != recorded)
+        module = kind in ("views", "triggers")
+        if k not in cat:
+            out[k] = "create"
+        elif not prior:
+            out[k] = "adopt"
+        elif drift:
+            out[k] = "module_update" if module else "live_structural_drift_blocked"
+        elif prior == checksum:
+            out[k] = "skip_unchanged"
+        elif kind == "tables":
+            out[k] = "table_reprocess" if k in steps else "table_blocked_no_transitions"
+        elif kind == "triggers" and cat[k]:
+            p = (db, f"{schema}/tables/{cat[k].lower()}")
+            managed = any(m[:2] == p for m in manifest)
+            if not managed or p not in cat:
+                out[k] = "trigger_blocked_parent_missing"
+            elif not last.get(p, ("",))[0]:
+                out[k] = "trigger_blocked_parent_changing"
+            else:
+                out[k] = "trigger_update_module"
+        else:
+            out[k] = "module_update" if module else "structural_change_blocked"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_against_brute_force(spark, seed):
+    """Random tables with a hot parent and a hot log key, with and without broadcasts."""
+    import random
+
+    rng = random.Random(seed)
+    sums = [A, B, ""]
+    keys = [(f"d{i % 2}", f"s/{k}/o{i}", f"d{i % 2}/s/{k}/o{i}.sql", "s", k, f"o{i}", rng.choice([A, B]))
+            for i in range(120) for k in [rng.choice(["tables", "views", "triggers", "indexes"])]]
+    parents = ["O0", "O1", None, "", "gone"] + [f"o{i}" for i in range(120)]
+    catalog = [(m[0], m[1], rng.choice(parents[:5] if rng.random() < 0.5 else parents))
+               for m in keys if rng.random() < 0.85]
+    catalog += rng.sample(catalog, 5)
+    history = []
+    for i in range(600):
+        m = keys[0] if rng.random() < 0.33 else rng.choice(keys)
+        history.append((i, m[0], m[1], "object", rng.choice(sums), rng.choice([A, B, None, A]),
+                        rng.choice([None, 5, 10]), rng.choice(["applied", "adopted", "failed"])))
+    ddl = {m[:2]: rng.choice([1, 7, 12]) for m in keys if rng.random() < 0.6}
+    live = {m[:2]: rng.choice([A, B]) for m in keys if rng.random() < 0.8}
+    steps = {m[:2] for m in keys if m[4] == "tables" and rng.random() < 0.5}
+    k = "database_name string, normalized_key string"
+    frames = [
+        spark.createDataFrame(keys, k + ", object_path string, schema_name string, kind string, "
+                                        "object_name string, checksum string"),
+        spark.createDataFrame(catalog, k + ", parent_name string"),
+        spark.createDataFrame(history, "id bigint, " + k + ", kind string, checksum string, "
+                              "live_definition_checksum string, applied_ddl_version bigint, event string"),
+        spark.createDataFrame([(*x, v) for x, v in ddl.items()], k + ", ddl_version bigint"),
+        spark.createDataFrame([(*x, "001") for x in steps], k + ", ordinal string"),
+        spark.createDataFrame([(*x, v) for x, v in live.items()], k + ", live_checksum string"),
+    ]
+    want = plan_oracle(keys, catalog, history, ddl, steps, live)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for name in names if seed % 2 else []:
+        spark.conf.set(name, "-1")
+    try:
+        rows = compute_plan(*frames).collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert {(r.database_name, r.normalized_key): r.scenario for r in rows} == want
+    assert len(rows) == len(keys)
+
+
 def test_latest_state_replaces_history(spark, rows):
     from reconcile.operators import history as hs
 

@@ -182,7 +182,21 @@ def _(v):
     return pr.audit_rows_by_kind(v.history.select("kind").union(v.migration_log.select("kind")))
 
 
-@query("i8_pending_transitions", f"select {K}, path from due_steps where recorded is null")
+def _all_due(v):
+    # Every table is due here; the plan of the given data replays few or none.
+    return v.manifest.filter(C("kind") == "tables").withColumn(
+        "planned_action", F.lit("reprocess_changed"))
+
+
+@query("i8_pending_transitions", """
+select a.database_name, a.normalized_key, a.path from authored a left join log_last l
+ on l.database_name=a.database_name and l.path=a.path where l.path is null""")
+def _(v):
+    return tr.pending_transitions(
+        _all_due(v), v.authored, hs.latest_migrations(v.migration_log)).select(*KEY, "path")
+
+
+@query("i8_pending_of_plan", f"select {K}, path from due_steps where recorded is null")
 def _(v):
     return tr.pending_transitions(
         v.plan, v.authored, hs.latest_migrations(v.migration_log)).select(*KEY, "path")
@@ -192,10 +206,8 @@ def _(v):
 select a.database_name, a.normalized_key, a.path, l.recorded from authored a join log_last l
  on l.database_name=a.database_name and l.path=a.path where recorded<>'' and recorded<>checksum""")
 def _(v):
-    # Every table is due here; few are in the plan of the smallest data.
-    due = v.manifest.withColumn("planned_action", F.lit("reprocess_changed"))
     return tr.tampered_transitions(
-        due, v.authored, hs.latest_migrations(v.migration_log)).select(*KEY, "path", "recorded")
+        _all_due(v), v.authored, hs.latest_migrations(v.migration_log)).select(*KEY, "path", "recorded")
 
 
 @query("i18_creation_records", f"""
