@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 ZERO_DIGEST = "0" * 64
 EPOCH_1900 = "1900-01-01 00:00:00"
 
@@ -25,7 +27,7 @@ def content_checksum_bytes(data: Column) -> Column:
 def decode_checksum(stored: Column) -> Column:
     """struct(value, valid): blank is the zero digest, 64 hex digits are a
     digest, anything else (NULL included) is invalid."""
-    s = F.trim(stored)
+    s = strip(stored)
     blank = s == ""
     is_hex = s.rlike(r"\A[0-9a-fA-F]{64}\z")
     value = F.when(blank, F.lit(ZERO_DIGEST)).when(is_hex, F.lower(s))
@@ -41,7 +43,7 @@ def present(digest: Column) -> Column:
 
 def parse_commit_date(text: Column) -> Column:
     return F.coalesce(
-        F.try_to_timestamp(F.nullif(F.trim(text), F.lit(""))),
+        F.try_to_timestamp(F.nullif(strip(text), F.lit(""))),
         F.lit(EPOCH_1900).cast("timestamp"),
     )
 

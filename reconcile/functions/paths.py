@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .kinds import MANAGED_KINDS
+from .text import strip
 
 # Fixed values.
 MAX_KEY_UNITS = 512          # UTF-16 units an audit key column can hold
@@ -57,7 +58,7 @@ def _after(path: Column, n: Column) -> Column:
 
 def normalize_path(path: Column, prefix: str = "sql/") -> Column:
     """Forward slashes, repository prefix removed, blank becomes NULL."""
-    p = forward_slashes(F.trim(path))
+    p = forward_slashes(strip(path))
     cut = F.when(p.startswith(prefix), _after(p, F.lit(len(prefix)))).when(
         p.startswith("sql/"), _after(p, F.lit(4))
     ).otherwise(p)
@@ -66,7 +67,7 @@ def normalize_path(path: Column, prefix: str = "sql/") -> Column:
 
 def parse_changed_csv(csv: Column) -> Column:
     """Comma list of changed files as an array without blanks."""
-    items = F.transform(F.split(csv, ","), lambda s: forward_slashes(F.trim(s)))
+    items = F.transform(F.split(csv, ","), lambda s: forward_slashes(strip(s)))
     return F.filter(items, lambda s: s != "")
 
 

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+WHITESPACE = " \t\r\n\f\x0b"
+
+
+def strip(col: Column) -> Column:
+    """Trim all white space, not only blanks."""
+    return F.trim(col, F.lit(WHITESPACE))
+
+
 def scaffold_identity(path: Column) -> Column:
     """Basename with the commit segment masked, so names of two runs compare."""
     name = F.element_at(F.split(path, "/"), -1)

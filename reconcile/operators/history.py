@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reconcile import KEY
 from reconcile.functions import checksums as ck, kinds, paths
+from reconcile.functions.text import strip
 
 LIVE_EVENTS = ["applied", "adopted"]
 
@@ -39,7 +40,7 @@ def latest_migrations(history: DataFrame) -> DataFrame:
     """Newest applied change script per path."""
     rows = history.filter((F.col("kind") == "migration") & (F.col("event") == "applied"))
     return _latest(rows, ["checksum"]).select(
-        *KEY, "id", F.trim(F.coalesce("last.checksum", F.lit(""))).alias("checksum")
+        *KEY, "id", strip(F.coalesce("last.checksum", F.lit(""))).alias("checksum")
     ).filter(F.col("normalized_key") != "")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from reconcile.functions import checksums as ck, paths
+from reconcile.functions.text import strip
 from reconcile.operators.ordered import fill_forward
 
 SEP = "\x1f"
@@ -29,7 +30,7 @@ def attach_commit(lines: DataFrame) -> DataFrame:
     huge log is filled by many tasks.
     """
     parsed = lines.select(
-        "file", "block", "line_no", F.trim("line").alias("line")
+        "file", "block", "line_no", strip(F.col("line")).alias("line")
     ).filter(F.col("line") != "").withColumn("header", parse_header(F.col("line")))
     filled = fill_forward(parsed, ["file"], "block", "line_no", "header", "commit")
     return filled.filter(

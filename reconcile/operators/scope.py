@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reconcile import KEY
 from reconcile.functions import checksums as ck, kinds, paths
+from reconcile.functions.text import strip
 
 
 def _suffixes(col: str) -> F.Column:
@@ -29,7 +30,7 @@ def keys_for_changed_paths(
         scripts.withColumn("rank", F.lit(1))
     )
     wanted = changed.select(
-        F.nullif(paths.forward_slashes(F.trim("path")), F.lit("")).alias("path")
+        F.nullif(paths.forward_slashes(strip(F.col("path"))), F.lit("")).alias("path")
     ).filter(F.col("path").isNotNull()).distinct()
 
     # min_by over the rank keeps the object when a path names both.

@@ -90,7 +90,7 @@ def latency_summary(runs: DataFrame, by: list[str], qs=(0.5, 0.95)) -> DataFrame
 @dataclass(frozen=True)
 class Category:
     """A stack belongs to ``name`` when every group of ``all_of`` has a marker
-    that occurs in one of its frames."""
+    that occurs in one of its frames.  A marker after ``~`` ignores case."""
 
     name: str
     all_of: tuple[tuple[str, ...], ...]
@@ -120,7 +120,7 @@ RUN_CATEGORIES = [
     Category("plan_resize", (("compute_diff",), ("ensure_plan_objects", "resize_with"))),
     Category("compute_diff_schema", (("compute_diff",), ("PlannedSchema", "schema.name"))),
     Category("compute_diff_other", (("compute_diff",),)),
-    Category("string_clone", (("String",), ("clone", "Clone", "CLONE"))),
+    Category("string_clone", (("String",), ("~clone",))),
     Category("vec_growth", (("Vec",), ("push", "with_capacity"))),
     Category("uncategorized", ()),
 ]
@@ -133,7 +133,16 @@ def _markers(phases, categories) -> list[str]:
     for cat in categories:
         for group in cat.all_of:
             found += group
-    return list(dict.fromkeys(found))
+    found = list(dict.fromkeys(found))
+    if len(found) > 63:
+        raise ValueError("at most 63 distinct markers")
+    return found
+
+
+def _has(marker: str):
+    if marker.startswith("~"):
+        return F.contains(F.lower("frame"), F.lit(marker[1:]))
+    return F.contains(F.col("frame"), F.lit(marker))
 
 
 def stack_frames(points: DataFrame, frames: DataFrame) -> DataFrame:
@@ -162,7 +171,7 @@ def classify_points(
     marks = _markers(phases, setup + running)
     bits = {m: i for i, m in enumerate(marks)}
     mask = sum(
-        (F.when(F.contains(F.col("frame"), F.lit(m)), F.lit(1 << i)).otherwise(0)
+        (F.when(_has(m), F.lit(1 << i)).otherwise(0)
          for m, i in bits.items()),
         F.lit(0).cast("long"),
     )

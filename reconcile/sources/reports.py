@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from reconcile.schemas import REPORTS
+from reconcile.schemas import PLAN_OBJECT, REPORTS
+from reconcile.sources.plan_json import write_plans
 
 _BAD = "_corrupt_record"
 
@@ -23,7 +24,7 @@ def read_reports(
         return reader.schema(schema).option("mode", "FAILFAST").json(path)
     # The nested fields are typed as objects, so text or a list there is corrupt.
     return (
-        reader.schema(schema.add(_BAD, "string") if _BAD not in schema.names else schema)
+        reader.schema(T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _BAD)
         .json(path)
@@ -65,9 +66,6 @@ def write_run_report(
     A run without a plan replaces the earlier plan by an empty one, so nobody
     reads a stale plan next to a failure.
     """
-    from .plan_json import write_plans
-    from reconcile.schemas import PLAN_OBJECT
-
     if plan is not None:
         write_plans(plan, f"{path}/plan", command)
     else:
