@@ -145,14 +145,11 @@ def _has(marker: str):
     return F.contains(F.col("frame"), F.lit(marker))
 
 
-def stack_frames(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row per stack position with the frame's text; an index outside the
-    frame table reads as ``<frame i>``."""
-    return points.select(
-        "point_id", "bytes", F.posexplode("frames").alias("pos", "frame_id")
-    ).join(frames, "frame_id", "left").withColumn(
-        "frame",
-        F.coalesce("frame", F.format_string("<frame %d>", F.col("frame_id"))),
+def _named(totals: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frame text onto rows per ``frame_id``; an index outside the frame table
+    reads as ``<frame i>``."""
+    return totals.join(frames, "frame_id", "left").withColumn(
+        "frame", F.coalesce("frame", F.format_string("<frame %d>", F.col("frame_id")))
     )
 
 
@@ -246,26 +243,34 @@ def frame_totals(
     own = F.lit(False)
     for m in own_markers:
         own = own | F.contains(F.col("frame"), F.lit(m))
-    rows = stack_frames(points, frames).withColumn("own", own)
-    last = F.max_by("frame", "pos")
-    per_point = rows.groupBy("point_id").agg(
-        F.first("bytes").alias("bytes"),
-        last.alias("leaf"),
-        F.max_by("frame", F.when(F.col("own"), F.col("pos"))).alias("deepest"),
+    size = F.sum("bytes").alias("bytes")
+    entries = points.select(
+        "point_id", "bytes", F.posexplode("frames").alias("pos", "frame_id")
     )
-    inclusive = rows.filter("own")
+    # Bytes are summed per frame index first, so a frame in every stack is
+    # folded map-side and texts are joined onto totals only.
+    inclusive = _named(entries.groupBy("frame_id").agg(size), frames).filter(own)
     if entry_marker:
         inclusive = inclusive.filter(~F.contains(F.col("frame"), F.lit(entry_marker)))
-    views = (
-        inclusive.select(F.lit("inclusive").alias("view"), "frame", "bytes")
-        .unionByName(per_point.filter(F.col("deepest").isNotNull()).select(
-            F.lit("deepest").alias("view"), F.col("deepest").alias("frame"), "bytes"))
-        .unionByName(per_point.select(
-            F.lit("leaf").alias("view"), F.col("leaf").alias("frame"), "bytes"))
-    )
-    return views.groupBy("view", short_frame(F.col("frame")).alias("frame")).agg(
-        F.sum("bytes").alias("bytes")
+    last = F.element_at("frames", -1).alias("frame_id")
+    leaf = points.filter(F.size("frames") > 0).groupBy(last).agg(size)
+    owned = entries.join(frames.filter(own).select("frame_id"), "frame_id", "left_semi")
+    deepest = (
+        owned.groupBy("point_id")
+        .agg(F.max_by("frame_id", "pos").alias("frame_id"), F.first("bytes").alias("bytes"))
+        .groupBy("frame_id")
+        .agg(size)
     )
+    views = {
+        "inclusive": inclusive,
+        "deepest": _named(deepest, frames),
+        "leaf": _named(leaf, frames),
+    }
+    out = None
+    for name, df in views.items():
+        part = df.select(F.lit(name).alias("view"), "frame", "bytes")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("view", short_frame(F.col("frame")).alias("frame")).agg(size)
 
 
 def top_frames(totals: DataFrame, k: int = 15) -> DataFrame:

@@ -184,16 +184,26 @@ def _(v):
 select coalesce(m.database_name,c.database_name) as database_name,
  coalesce(m.normalized_key,c.normalized_key) as normalized_key,
  case when m.doc_id is not null then 'managed' when h.normalized_key is not null then 'orphaned'
-  else 'unmanaged' end as ownership, c.doc_id is not null as "exists", 'none' as destructive_action
-from (select * from manifest where lower(checksum)<'b') m
-full outer join catalog c on c.database_name=m.database_name and c.normalized_key=m.normalized_key
-left join (select distinct {K} from latest) h
+  else 'unmanaged' end as ownership, c.normalized_key is not null as "exists",
+ 'none' as destructive_action
+from manifest m full outer join (select {K} from catalog union all
+ select 'db0', 'legacy/views/p'||cast(page_id as string) from pages) c
+ on c.database_name=m.database_name and c.normalized_key=m.normalized_key
+left join (select {K} from latest union
+ select 'db0', 'legacy/views/p'||cast(doc_id as string) from labels) h
  on h.database_name=coalesce(m.database_name,c.database_name)
  and h.normalized_key=coalesce(m.normalized_key,c.normalized_key)""")
 def _(v):
-    # A smaller manifest than the server's content: scripts with a low checksum.
-    return ct.ownership(v.manifest.filter(C("checksum") < "b"), v.catalog,
-                        hs.latest_object_history(v.history))
+    # The pages stand for objects of an older layout that only the server has,
+    # some of them with log rows of their own.
+    def legacy(table, i):
+        return v.table(table).select(
+            F.lit("db0").alias("database_name"), cat("=legacy/views/p", i).alias("normalized_key"))
+
+    catalog = v.catalog.select(*KEY).unionByName(legacy("pages", "page_id"))
+    history = hs.latest_object_history(v.history).select(*KEY).unionByName(
+        legacy("labels", "doc_id"))
+    return ct.ownership(v.manifest, catalog, history)
 
 
 _HITS = r"""
