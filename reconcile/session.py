@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -42,13 +41,10 @@ def local_session(
     return spark
 
 
-_local_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can write to, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine.
+    Where it is unset, a local master falls back to a folder in the warehouse.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -56,9 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="reconcile-")
-    return _local_dirs[sc.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
