@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_join, stream_dedup, syncmers
+from . import best_fit, hamming_join, licences, mixing, pii_crf, stream_dedup, string_kernel, syncmers, unit_dedup, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_crf": pii_crf.query,
     "op2_syncmer_fingerprints": syncmers.query,
     "op3_minhash_hamming_join": hamming_join.query,
+    "op4_url_trees": url_trees.query,
+    "op5_string_kernel_language": string_kernel.query,
+    "op6_best_fit_packing": best_fit.query,
+    "op7_unit_dedup": unit_dedup.query,
+    "op8_source_mixing": mixing.query,
+    "op9_licence_scan": licences.query,
     "op10_stateful_exact_dedup": stream_dedup.query,
 }
 
-ORACLE: dict[str, str] = {"op10_stateful_exact_dedup": stream_dedup.ORACLE}
+#: The others depend on trained models, tokenizers or iteration; tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op8_source_mixing": mixing.ORACLE,
+    "op10_stateful_exact_dedup": stream_dedup.ORACLE,
+}
