@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reconcile.llm import hamming_join, stream_dedup
+from reconcile.llm import best_fit, hamming_join, mixing, stream_dedup, string_kernel
 from reconcile.session import work_path
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told (no text, no letters) go."""
+    return string_kernel.drop_unidentified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return stream_dedup.drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, 0.8)."""
     return hamming_join.drop_near(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights; a source short of its share repeats for an epoch."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences."""
+    return best_fit.pack_documents(docs)
+
+
 STAGES = [
+    ("language ID", language_id),
     ("exact dedup", exact_dedup),
     ("near dedup", near_dedup),
+    ("source mixing", mix_sources),
+    ("packing", pack),
 ]
 
 #: Language scores, packing and state have no SQL form; tests hold the stages against brute force.
