@@ -20,10 +20,11 @@ doc_id is packed like any other. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
@@ -72,14 +73,20 @@ class Encoder:
         self.known.update(zip(new, self.whole(new)))
         rest = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         known = self.known
-        return [next(rest) if w is None else b"".join([known[x] for x in w]) for w in words]
+        return [next(rest) if w is None else b"".join(map(known.__getitem__, w)) for w in words]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, with the words it remembers."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents cut at the capacity."""
 
     def run(batches):
-        encode, last = Encoder(tokenizer), np.array([end], "<u4").tobytes()
+        encode, last = encoder(tokenizer), array("I", [end]).tobytes()
         for b in batches:
             for at in range(0, len(b), TOGETHER):
                 rows = b.iloc[at : at + TOGETHER]

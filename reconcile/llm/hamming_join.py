@@ -9,12 +9,13 @@ such pairs always meet under a key. At a likeness of 0.8 a pair misses all keys
 with probability 1e-6; pairs that meet beyond the guarantee are checked as well.
 Links are confirmed on full shingle sets.
 
-Equal sets are one node. A key's members are not paired with each other: each
-meets one member first, links are confirmed and contracted into components, and
-in later rounds only members of different components meet, a growing number of
-them per key and round, until no key holds two components that haven't met. A
-key with thousands of near copies is done after a few linear rounds, and no link
-is lost.
+Equal sets are one node. A key's members are not paired with each other. Under
+the keys of the first chunk each meets one member; links are confirmed and
+contracted into components. From then on only keys with several components are
+looked at: a few members meet those of other components, first from the key's
+largest component, then from outside it in growing numbers, with a contraction
+after each round, until no key holds two components that haven't met. A key with
+thousands of near copies is done after a few linear rounds, and no link is lost.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: fewer
 words than a shingle: the whole sequence is one shingle; no words or null text:
@@ -26,7 +27,7 @@ judged by their own text. An empty table gives no rows; other columns are not re
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,8 @@ SLOTS = CHUNKS * SYMBOLS
 #: Pairs that agree in fewer places aren't confirmed: at a likeness of 0.8 the chance is 1e-8.
 LEAST_EQUAL = 12
 SPACES = b" \t\n\v\f\r"
-FIRST_MEETING = 8
+#: Members of a key that meet the others in one round; rounds in which they come from the largest component.
+MEETING, INNER_ROUNDS = 4, 2
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,10 +169,13 @@ def chunk_keys() -> list:
 
 def _candidate(percent: int):
     """Condition on two members (suffix 1 and 2): sizes and signatures allow a link."""
+    # what two sets share is at most what either shares with any other open set
+    shared = F.lit(100 + percent) * F.least("common1", "common2") >= F.lit(percent) * (F.col("n1") + F.col("n2"))
     equal = F.aggregate(F.zip_with("sig1", "sig2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return (
         (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2"))
         & (F.col("node1") != F.col("node2"))
+        & shared
         & (equal >= LEAST_EQUAL)
     )
 
@@ -186,51 +191,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _side(members: DataFrame, n: int, *more: str) -> DataFrame:
-    return members.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("node", "n", "sig", *more)])
+    return members.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("node", "n", "common", "sig", *more)])
+
+
+def _in_common(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with ``common``: how many items of the node's set other members hold."""
+    items = sets.join(members.select("node").distinct(), "node").select("node", F.explode("items").alias("item"))
+    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("item")
+    common = items.join(held, "item").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    return members.drop("common").join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after joining the components that ``links`` connect."""
+    a = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ab = a.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    moved = components(ab.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = moved.select(F.col("component").alias("to"), F.col("node").alias("component"))
+    # components of one node so far have no label yet
+    known = labels.select("component").distinct()
+    new = moved.join(known, "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    renamed = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(renamed.union(new), "labels")
 
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of all nodes with a link."""
     pair = lambda df: df.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    first = members.groupBy("key").agg(F.min("node").alias("node"))
-    pivots = members.join(first, ["key", "node"])
-    pairs = pair(_side(members, 1).join(_side(pivots, 2), "key").where(_candidate(percent)))
-    links = _confirmed(pairs, sets, percent)
-    labels = components(links)
+    # one member per key of the first chunk meets the others; most copies are joined here
+    chunk = members.where("chunk = 0")
+    first = chunk.groupBy("key").agg(F.min("node").alias("node"))
+    pivots = chunk.join(first, ["key", "node"])
+    pairs = pair(_side(chunk, 1).join(_side(pivots, 2), "key").where(_candidate(percent)))
+    labels = components(_confirmed(pairs, sets, percent))
     members = members.join(first, ["key", "node"], "left_anti")
-    meeting = FIRST_MEETING
-    while True:
+    for round_ in count():
         # all rows of keys that still hold nodes of several components
-        named = (
-            members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        )
+        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         ranges = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = ranges.where("low < high").select("key")
-        open_ = written(named.join(mixed, "key"), "open")
+        open_ = written(named.join(ranges.where("low < high").select("key"), "key"), "open")
         if open_.isEmpty():
             return labels
+        if round_ >= INNER_ROUNDS:
+            # few sets are left: an exact bound on what a pair can share spares most of the pairs
+            open_ = written(_in_common(open_, sets), "open")
         sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-        outside = open_.join(largest, "key").where("component <> largest")
-        order = Window.partitionBy("key").orderBy("node")
-        few = written(outside.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= meeting), "meeting")
+        # members of the largest component meet the few outside it; those that
+        # stay outside after some rounds then meet all others, ever more at once
+        outside = F.col("component") != F.col("largest")
+        inner = round_ < INNER_ROUNDS
+        meeting = MEETING if inner else MEETING ** (round_ - INNER_ROUNDS + 1)
+        order = Window.partitionBy("key").orderBy(outside if inner else ~outside, "node")
+        ranked = open_.join(largest, "key").withColumn("__n", F.row_number().over(order))
+        few = ranked.where(F.col("__n") <= meeting).drop("__n", "largest")
+        if not inner:
+            # a node that meets all others does so under all its keys at once, and only once
+            few = open_.join(few.select("node").distinct(), "node")
+        few = written(few, "meeting")
         pairs = pair(
             _side(open_, 1, "component").join(_side(few, 2, "component"), "key")
             .where((F.col("component1") != F.col("component2")) & _candidate(percent))
         )
-        links = written(_confirmed(pairs, sets, percent), "links")
-        names = labels.select("node", "component")
-        a = links.join(names.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
-        ab = a.join(names.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-        moved = components(ab.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        moved = moved.select(F.col("component").alias("to"), F.col("node").alias("component"))
-        new = moved.join(labels.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
-        labels = written(
-            labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(new),
-            "labels",
-        )
+        labels = _merged(labels, written(_confirmed(pairs, sets, percent), "links"))
         members = open_.drop("component").join(few.select("key", "node"), ["key", "node"], "left_anti")
-        meeting *= FIRST_MEETING
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -245,9 +269,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         .agg(F.min("key").alias("owner"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig")),
         "nodes",
     )
-    keys = nodes.select("node", F.explode(F.array(*chunk_keys())).alias("key"))
+    keys = nodes.select("node", F.posexplode(F.array(*chunk_keys())).alias("place", "key"))
+    keys = keys.select("node", "key", F.expr(f"place div {len(chunk_keys()) // CHUNKS}").cast("int").alias("chunk"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = written(keys.join(shared, "key").join(nodes.drop("owner"), "node"), "members")
+    members = written(keys.join(shared, "key").join(nodes.drop("owner").withColumn("common", F.col("n")), "node"), "members")
     owners = nodes.join(members.select("node").distinct(), "node").select("node", F.col("owner").alias("key"))
     sets = written(_sets(docs, owners, words), "sets")
     labels = _linked(members, sets, percent)
