@@ -10,10 +10,6 @@ from reconcile.functions.checksums import present
 
 MAX_TABLE_COLUMNS = 30000   # limit of a wide table in the source database
 SCOPE = ["database_name", "schema_name", "kind", "object_name"]
-OBJECT_KINDS = [
-    "tables", "views", "procedures", "functions", "triggers", "queues", "synonyms",
-    "sequences",
-]
 
 
 def _lower_keys(df: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ SNAPSHOT_VERSION = "2"
 TIMING_FACTOR = 3.0
 TIMING_SLACK_MS = 100
 SETUP_APPLY_MAX_MS = 500
-PLAN_PHASES = ["parallel_wall_ms", "diff_ms", "plan_wall_ms"]
+#: Action of a snapshot row that names none; risky.
+UNKNOWN_ACTION = "unknown"
 
 _FIELDS = ["object_path", "planned_action", "checksum_hex", "exists"]
 
@@ -37,17 +38,28 @@ def _paired(base: DataFrame, cur: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(base: DataFrame, cur: DataFrame) -> DataFrame:
-    """Keys that differ, with the first difference found as ``reason``."""
+    """Keys that differ, with the first difference found as ``reason``.
+
+    NULL differs from every value, so a damaged side never compares as equal; an
+    absent action is named ``unknown``.
+    """
+    def differs(f: str):
+        return ~F.col(f"b.{f}").eqNullSafe(F.col(f"c.{f}"))
+
+    action = {s: F.coalesce(F.col(f"{s}.planned_action"), F.lit(UNKNOWN_ACTION)) for s in "bc"}
     reason = (
-        F.when(F.col("b").isNull(), F.col("c.planned_action"))
-        .when(F.col("c").isNull(), F.col("b.planned_action"))
-        .when(F.col("b.planned_action") != F.col("c.planned_action"), F.col("c.planned_action"))
-        .when(F.col("b.checksum_hex") != F.col("c.checksum_hex"), "checksum")
-        .when(F.col("b.exists") != F.col("c.exists"), "exists")
+        F.when(F.col("b").isNull(), action["c"])
+        .when(F.col("c").isNull(), action["b"])
+        .when(differs("planned_action"), action["c"])
+        .when(differs("checksum_hex"), "checksum")
+        .when(differs("exists"), "exists")
     )
     return _paired(base, cur).withColumn("reason", reason).filter(
         F.col("reason").isNotNull()
-    ).select("snapshot_key", "reason", F.col("c.planned_action").alias("current_action"))
+    ).select(
+        "snapshot_key", "reason",
+        F.when(F.col("c").isNotNull(), action["c"]).alias("current_action"),
+    )
 
 
 def compare_snapshots(
@@ -72,7 +84,7 @@ def compare_snapshots(
         return spark.createDataFrame([("version", None, msg)], schema)
     expected = delta.select("snapshot_key").distinct().withColumn("_in", F.lit(True))
     rows = snapshot_diff(base, cur).join(expected, "snapshot_key", "left")
-    risky = F.col("current_action").isin(RISKY_ACTIONS)
+    risky = F.col("current_action").isin([*RISKY_ACTIONS, UNKNOWN_ACTION])
     category = F.when(
         F.col("_in"), F.when(risky, "risky")
     ).when(F.lit(strict), "unexpected")
@@ -133,7 +145,7 @@ def snapshot_parity(expected: DataFrame, actual: DataFrame) -> DataFrame:
     def differs(f: str):
         e, a = F.col(f"b.{f}"), F.col(f"c.{f}")
         return F.when(
-            e != a,
+            ~e.eqNullSafe(a),
             F.format_string(
                 f"%s {f}: baseline=%s actual=%s",
                 F.col("snapshot_key"), e.cast("string"), a.cast("string"),
@@ -227,8 +239,8 @@ REPORT_FIELDS = {
 def compare_reports(base: DataFrame, cur: DataFrame, kind: str) -> DataFrame:
     """One message per differing report field, joined on ``scenario``.
 
-    Snapshots and timings inside reports have their own operators; use
-    :func:`report_phases` and ``sources.snapshots.explode_snapshots`` for them.
+    Snapshots inside reports have their own operators, see
+    ``sources.snapshots.explode_snapshots``.
     """
     scalars, lists, masked = REPORT_FIELDS[kind]
     b = base.select("scenario", F.struct(*[c for c in base.columns]).alias("b"))
@@ -264,7 +276,8 @@ def compare_reports(base: DataFrame, cur: DataFrame, kind: str) -> DataFrame:
         )
 
     def counts():
-        x, y = F.col("b.action_counts"), F.col("c.action_counts")
+        none = F.create_map().cast("map<string,int>")
+        x, y = (F.coalesce(F.col(f"{s}.action_counts"), none) for s in "bc")
 
         def as_text(m):
             items = F.array_sort(F.map_entries(m))
@@ -291,10 +304,3 @@ def compare_reports(base: DataFrame, cur: DataFrame, kind: str) -> DataFrame:
     return b.join(c, "scenario", "full_outer").select(
         "scenario", F.explode(found).alias("message")
     )
-
-
-def report_phases(reports: DataFrame, phases: list[str] | None = None) -> DataFrame:
-    """Report timings as long (scenario, phase, ms) rows."""
-    names = phases or WORKFLOW_MS
-    wide = reports.select("scenario", *[F.col(f"timings.{p}").alias(p) for p in names])
-    return wide.unpivot("scenario", names, "phase", "ms").filter(F.col("ms").isNotNull())

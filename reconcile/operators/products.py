@@ -109,10 +109,12 @@ def metadata_records(plan: DataFrame, mode: str = "baseline") -> DataFrame:
     )
     if mode == "repair":
         return records
-    # One flag decides for all rows; a scalar subquery keeps it inside the job.
-    blocked = plan.agg(F.coalesce(F.bool_or("blocked"), F.lit(False))).scalar()
+    # The refusal is a row of its own, so it doesn't depend on there being records.
     refuse = F.raise_error(F.lit("plan is blocked: baseline refused")).cast("string")
-    return records.withColumn("event", F.when(blocked, refuse).otherwise(F.col("event")))
+    refused = plan.agg(F.coalesce(F.bool_or("blocked"), F.lit(False)).alias("blocked")).filter(
+        "blocked"
+    ).select(*[refuse.alias(c) for c in records.columns])
+    return records.unionByName(refused)
 
 
 def with_provenance(plan: DataFrame, commits: DataFrame) -> DataFrame:

@@ -66,7 +66,3 @@ def latest_commit_by_time(touches: DataFrame, newest: list[str]) -> DataFrame:
     return touches.groupBy("object_path").agg(
         F.max_by(commit, F.struct(*newest)).alias("c")
     ).select("object_path", "c.*")
-
-
-def with_commit_time(commits: DataFrame) -> DataFrame:
-    return commits.withColumn("git_time", ck.parse_commit_date(F.col("git_date")))

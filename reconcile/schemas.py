@@ -23,11 +23,6 @@ CATALOG = _struct(
     ("object_name", S), ("parent_name", S),
 )
 
-COLUMNS = _struct(
-    ("database_name", S), ("schema_name", S), ("table_name", S), ("column_name", S),
-    ("type_name", S), ("length", I), ("precision", I), ("scale", I), ("is_nullable", S),
-)
-
 SNAPSHOT_OBJECT = _struct(
     ("object_path", S), ("planned_action", S), ("checksum_hex", S), ("exists", B),
 )

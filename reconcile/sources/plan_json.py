@@ -43,7 +43,8 @@ def read_plans(
     Documents are one per file (``multi_line``) or one per line.
     """
     if layout == "lines":
-        return _from_wire(spark.read.schema(PLAN_OBJECT).json(f"{path}/objects"))
+        lines = spark.read.schema(PLAN_OBJECT).option("mode", "FAILFAST").json(f"{path}/objects")
+        return _from_wire(lines)
     docs = spark.read.schema(PLAN_DOC).option("mode", "FAILFAST").json(path, multiLine=multi_line)
     rows = docs.select(
         "command", F.col("plannedAt").alias("planned_at"), F.explode("objects").alias("o")

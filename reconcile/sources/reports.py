@@ -85,4 +85,4 @@ def append_traces(df: DataFrame, path: str) -> None:
 
 
 def read_traces(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

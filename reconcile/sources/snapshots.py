@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reconcile.operators.gate import SNAPSHOT_VERSION
 from reconcile.schemas import SNAPSHOT_DOC, SNAPSHOT_OBJECT
 
+_REQUIRED = ["snapshot_key", *SNAPSHOT_OBJECT.names]
 MAX_DOCUMENT_OBJECTS = 200_000
 _ROW = "snapshot_key string, object_path string, planned_action string, " \
        "checksum_hex string, exists boolean"
@@ -20,6 +21,15 @@ def explode_snapshots(docs: DataFrame) -> DataFrame:
     )
 
 
+def _complete(rows: DataFrame) -> DataFrame:
+    """``rows``; one that lacks a field of an object fails the job."""
+    for c in _REQUIRED:
+        missing = F.raise_error(F.lit(f"snapshot object without {c}"))
+        kind = rows.schema[c].dataType
+        rows = rows.withColumn(c, F.when(F.col(c).isNull(), missing.cast(kind)).otherwise(F.col(c)))
+    return rows
+
+
 def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_DOC).option("mode", "FAILFAST").json(
         path, multiLine=True
@@ -28,13 +38,16 @@ def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_snapshots(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
     if layout == "lines":
-        return spark.read.schema(_ROW).json(f"{path}/objects")
-    return explode_snapshots(read_snapshot_documents(spark, path))
+        rows = spark.read.schema(_ROW).option("mode", "FAILFAST").json(f"{path}/objects")
+        return _complete(rows)
+    return _complete(explode_snapshots(read_snapshot_documents(spark, path)))
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """version and blocked of a snapshot written as lines."""
-    return spark.read.schema("version string, blocked boolean").json(f"{path}/header")
+    return spark.read.schema("version string, blocked boolean").option("mode", "FAILFAST").json(
+        f"{path}/header"
+    )
 
 
 def write_snapshots(rows: DataFrame, path: str, blocked: bool = False) -> None:

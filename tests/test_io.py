@@ -263,3 +263,37 @@ def test_history_tail_stream(spark, tmp_path, rows):
     batch = hs.latest_object_history(spark.createDataFrame(data, cols))
     assert rows(tail.read_latest_history(spark, state), "normalized_key", "id", "checksum") == rows(
         batch, "normalized_key", "id", "checksum")
+
+
+def test_damaged_snapshots_fail(spark, tmp_path):
+    from reconcile.sources import snapshots
+
+    (tmp_path / "bad" / "objects").mkdir(parents=True)
+    (tmp_path / "bad" / "objects" / "a.json").write_text('{"snapshot_key": "a"')
+    (tmp_path / "short" / "objects").mkdir(parents=True)
+    (tmp_path / "short" / "objects" / "a.json").write_text('{"snapshot_key": "a", "object_path": "p"}\n')
+    for name in ("bad", "short"):
+        with pytest.raises(Exception):
+            snapshots.read_snapshots(spark, str(tmp_path / name), "lines").collect()
+
+
+def test_gate_fails_on_nulls(spark):
+    from reconcile.operators import gate
+
+    ddl = "snapshot_key string, object_path string, planned_action string, checksum_hex string, exists boolean"
+    base = spark.createDataFrame([("k", "p", "skip_unchanged", "aa", True)], ddl)
+    cur = spark.createDataFrame([("k", None, None, None, None)], ddl)
+    delta = spark.createDataFrame([("k",)], "snapshot_key string")
+    assert [r.category for r in gate.compare_snapshots(base, cur, delta).collect()] == ["risky"]
+    assert gate.snapshot_parity(base, cur).count() == 4
+    assert gate.compare_snapshots(base, base, delta).count() == 0
+
+
+def test_blocked_baseline_is_refused_without_adoptions(spark):
+    from reconcile.operators import products
+
+    ddl = "database_name string, normalized_key string, checksum string, planned_action string, blocked boolean"
+    plan = spark.createDataFrame([("d", "k", "aa", "fail", True)], ddl)
+    with pytest.raises(Exception, match="refused"):
+        products.metadata_records(plan).collect()
+    assert products.metadata_records(plan, "repair").count() == 1
