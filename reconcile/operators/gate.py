@@ -145,7 +145,7 @@ def snapshot_parity(expected: DataFrame, actual: DataFrame) -> DataFrame:
     def differs(f: str):
         e, a = F.col(f"b.{f}"), F.col(f"c.{f}")
         return F.when(
-            ~e.eqNullSafe(a),
+            F.col("b").isNotNull() & F.col("c").isNotNull() & ~e.eqNullSafe(a),
             F.format_string(
                 f"%s {f}: baseline=%s actual=%s",
                 F.col("snapshot_key"), e.cast("string"), a.cast("string"),
