@@ -45,8 +45,7 @@ def _(v):
 @query("i2_drift", f"select {K}, drift from drifted where drift")
 def _(v):
     flagged = dr.suspects(hs.latest_object_history(v.history), v.object_ddl)
-    live = v.catalog.join(dr.suspect_keys(flagged), KEY, "left_semi")
-    return dr.drift(flagged, live).filter("drift").select(*KEY, "drift")
+    return dr.drift(flagged, v.live(dr.suspect_keys(flagged))).filter("drift").select(*KEY, "drift")
 
 
 @query("i4_compute_plan", f"""
@@ -55,7 +54,7 @@ select {K}, object_path, scenario, planned_action, counter, blocked, needs_prove
 def _(v):
     return compute_plan(
         v.manifest, v.catalog, v.history, v.object_ddl, v.transitions,
-        lambda keys: v.catalog.join(keys, KEY, "left_semi"),
+        v.live,
     ).select(*KEY, "object_path", "scenario", "planned_action", "counter", "blocked",
              "needs_provenance", "message", "exists", "drift", "prior", "transitions")
 
