@@ -11,7 +11,7 @@ many tasks.
 Tokens: the tokenizer's own ids. Texts of ASCII and plain Latin letters take a
 shortcut with the same result: the vocabulary splits such text into words first
 and a word's ids don't depend on its surroundings, so each distinct word is
-encoded once per batch and remembered. All other texts go to the tokenizer whole.
+encoded once per Python worker and remembered across tasks. All other texts go to the tokenizer whole.
 
 Defined cases: null and empty texts are one end token; texts longer than the
 capacity are cut into pieces; a repeated doc_id is packed once per row; a null
