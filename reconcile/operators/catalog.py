@@ -8,7 +8,6 @@ from reconcile import KEY
 from reconcile.functions import paths, text
 from reconcile.functions.checksums import present
 
-MAX_TABLE_COLUMNS = 30000   # limit of a wide table in the source database
 SCOPE = ["database_name", "schema_name", "kind", "object_name"]
 
 
@@ -170,21 +169,13 @@ def table_columns(columns: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def column_lists(columns: DataFrame) -> DataFrame:
-    """Per table the ordered list of (name, type, nullable).  Column names are
-    unique in a table and the source database limits their number (30,000 for
-    wide tables), which bounds the list; repeats fold before it is built."""
+    """Per table the ordered list of (name, type, nullable).  A list is as long as
+    its table is wide; repeats of a name fold before it is built."""
     once = columns.groupBy(*KEY, "column_name").agg(
         F.min("type_name").alias("type_name"), F.min("nullable").alias("nullable")
     )
     item = F.struct("column_name", "type_name", "nullable")
-    lists = once.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
-    empty = F.array().cast(lists.schema["columns"].dataType)
-    over = F.raise_error(F.lit("too many columns in one table")).cast("string")
-    return lists.withColumn(
-        "columns",
-        F.when(F.size("columns") <= MAX_TABLE_COLUMNS, F.col("columns"))
-        .otherwise(F.when(over.isNull(), empty)),
-    )
+    return once.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
 
 
 def ownership(manifest: DataFrame, catalog: DataFrame, history: DataFrame) -> DataFrame:

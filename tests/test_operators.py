@@ -217,14 +217,43 @@ CREATE TABLE [dbo].[T] (
 """
 
 
-def test_columns_of():
-    assert ev.columns_of("SELECT 1") == [] and ev.columns_of("") == []
-    assert ev.columns_of("CREATE TABLE t (a INT, b (INT") == []
-    got = ev.columns_of(SCRIPT.replace(" ON [PRIMARY]", ""))
-    assert got == [
-        ("id", "INT IDENTITY(1,1)", False), ("name", "NVARCHAR(50)", True),
-        ("amount", "DECIMAL(10, 2)", False), ("kind", "CHAR(1) CHECK (KIND IN ('A','B'))", True),
-    ]
+def columns_of(spark, *scripts):
+    df = spark.createDataFrame(
+        [("d", f"k{i}", "tables", t) for i, t in enumerate(scripts)],
+        KEYS + ", kind string, content string")
+    out = [[] for _ in scripts]
+    for r in ev.script_columns(df).orderBy("normalized_key", "ordinal").collect():
+        out[int(r.normalized_key[1:])].append((r.column_name, r.type_name, r.nullable))
+    return out
+
+
+def test_columns_of_scripts(spark):
+    none = columns_of(spark, "SELECT 1", "", None, "CREATE TABLE t (a INT, b (INT", "CREATE TABLE t ()")
+    assert none == [[]] * 5
+    cols = [("id", "INT IDENTITY(1,1)", False), ("name", "NVARCHAR(50)", True),
+            ("amount", "DECIMAL(10, 2)", False), ("kind", "CHAR(1) CHECK (KIND IN ('A','B'))", True)]
+    assert columns_of(spark, SCRIPT, SCRIPT.replace("\n", "\r\n")) == [cols, cols]
+
+
+def test_bracket_rule(spark):
+    got = columns_of(spark, "CREATE TABLE t (plain [NVARCHAR](50) NULL, [two words] INT, "
+                            "[sum] AS (a + b), total  AS  f(a, (b)), asof DATE)")
+    assert got == [[("plain [nvarchar", "(50)", True), ("two words", "INT", True), ("asof", "DATE", True)]]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.recursive(st.just("1"), lambda t: st.lists(t, min_size=1, max_size=3).map(
+    lambda x: "(" + ", ".join(x) + ")"), max_leaves=6), st.booleans()), min_size=1, max_size=8))
+def test_nested_parentheses(spark, cols):
+    body = ", -- x, (y\n".join(f"c{i} T{t} {'NULL' if n else 'NOT NULL'}" for i, (t, n) in enumerate(cols))
+    want = [(f"c{i}", f"T{t}", n) for i, (t, n) in enumerate(cols)]
+    assert columns_of(spark, f"CREATE TABLE t ({body}\n)") == [want]
+
+
+def test_wide_table(spark):
+    n = 31000
+    [got] = columns_of(spark, "CREATE TABLE t (" + ",".join(f"c{i} INT" for i in range(n)) + ")")
+    assert got == [(f"c{i}", "INT", True) for i in range(n)]
 
 
 def test_additive_rules(spark, rows):
