@@ -62,17 +62,24 @@ class Model:
         self.languages, self.landmarks, self.weights = languages, landmarks, weights
 
     @staticmethod
-    def fit(x: np.ndarray, labels: list[str], per_language: int = LANDMARKS) -> Model:
+    def fit(bits: np.ndarray, labels: list[str], per_language: int = LANDMARKS) -> Model:
+        """``bits``: one row of packed presence bits per text; unpacked ``BATCH`` rows at a time."""
         languages = sorted(set(labels))
         y = np.array([languages.index(v) for v in labels])
         if not languages:
             return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0), np.float32))
-        x = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        marks = x[np.concatenate([np.flatnonzero(y == k)[:per_language] for k in range(len(languages))])]
+
+        def unit(packed: np.ndarray) -> np.ndarray:
+            x = np.unpackbits(packed, axis=1).astype(np.float64)
+            x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+            return x
+
+        marks = unit(bits[np.concatenate([np.flatnonzero(y == k)[:per_language] for k in range(len(languages))])])
         values, vectors = np.linalg.eigh(marks @ marks.T)
         keep = values > 1e-6 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        phi = np.hstack((x @ marks.T @ whiten, np.ones((len(x), 1))))
+        kernel = np.vstack([unit(bits[at : at + BATCH]) @ marks.T for at in range(0, len(bits), BATCH)])
+        phi = np.hstack((kernel @ whiten, np.ones((len(bits), 1))))
         target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
         share = 1 / np.bincount(y)[y]  # each language weighs the same
         w = np.linalg.solve((phi * share[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1]) / len(phi), (phi * share[:, None]).T @ target)
@@ -118,8 +125,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # bounded: per_language rows for each language
     rows = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect()
     rows = sorted((r["lang"], bytes(r["bits"])) for r in rows)
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in rows], np.float64).reshape(len(rows), SLOTS)
-    return Model.fit(x, [lang for lang, _ in rows])
+    packed = np.array([np.frombuffer(b, np.uint8) for _, b in rows], np.uint8).reshape(len(rows), SLOTS // 8)
+    return Model.fit(packed, [lang for lang, _ in rows])
 
 
 def classify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
