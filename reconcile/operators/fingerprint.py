@@ -3,8 +3,8 @@
 An object's state is a JSON object: its own attributes plus one ordered child
 list per child table (columns, checks, keys, ...).  Child lists are built in
 chunks of consecutive ordinals, so one object with very many children never
-gathers its raw rows in one task: lists of one chunk are inlined, longer ones
-are represented by their row count and the digests of their chunks.
+gathers its raw rows in one task.  In the state a list is its row count and the
+digests of its chunks; the chunks themselves are rows (:func:`child_chunks`).
 """
 
 from __future__ import annotations
@@ -22,79 +22,55 @@ def fingerprint(kind: Column, state: Column) -> Column:
     return F.sha2(F.concat(kind, F.lit(":"), F.nullif(state, F.lit(""))), 256)
 
 
-def _array_json(chunk: int) -> Column:
-    """Ordered JSON array of the collected ``rows``."""
-    full = F.raise_error(F.lit("child ordinals are not unique")).cast("string")
-    text = F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON)
-    return F.when(F.size("rows") > chunk, full).otherwise(text)
-
-
-def _collected(order: str, columns: list[str]) -> Column:
-    row = F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_r"))
-    return F.sort_array(F.collect_list(row)).alias("rows")
-
-
-def _first_chunk(child: DataFrame, order: str, columns: list[str], chunk: int) -> DataFrame:
-    """Ordinals below ``chunk``: for nearly all objects this is everything, and
-    the result is already partitioned by key."""
-    rows = child.filter((F.col(order) >= 0) & (F.col(order) < chunk))
-    return rows.groupBy(*KEY).agg(_collected(order, columns)).select(
-        *KEY, F.size("rows").cast("long").alias("n0"), _array_json(chunk).alias("json0")
-    )
-
+def child_chunks(
+    child: DataFrame, order: str, columns: list[str], chunk: int = CHUNK
+) -> DataFrame:
+    """Readable form of child lists: per key and ``chunk_no`` the rows' ordered JSON array.
 
-def _later_chunks(child: DataFrame, order: str, columns: list[str], chunk: int) -> DataFrame:
-    """Digests of all other chunks; only digests and one text meet per key."""
-    rows = child.filter((F.col(order) < 0) | (F.col(order) >= chunk))
-    chunks = (
-        rows.groupBy(*KEY, F.floor(F.col(order) / chunk).alias("chunk_no"))
-        .agg(_collected(order, columns))
-        .select(
-            *KEY, "chunk_no", F.size("rows").cast("long").alias("n"),
-            _array_json(chunk).alias("json"),
-        )
-    )
-    return chunks.groupBy(*KEY).agg(
-        F.sum("n").alias("n1"),
-        F.min_by("json", "chunk_no").alias("json1"),
-        F.collect_list(F.struct("chunk_no", F.sha2("json", 256).alias("d"))).alias("ds"),
+    ``order`` must be a whole number that is unique within a key, as column,
+    partition and key ordinals are; a chunk then holds at most ``chunk`` rows.
+    Repeated ordinals fail the job before any list is built.
+    """
+    by_chunk = [*KEY, "chunk_no"]
+    placed = child.select(
+        *KEY, F.floor(F.col(order) / chunk).alias("chunk_no"), F.col(order).alias("_o"),
+        F.struct(*columns).alias("_r"),
     )
-
-
-def _list_value() -> Column:
-    """The array text when there is one chunk, else row count and digests."""
-    none = F.array().cast("array<struct<chunk_no:bigint,d:string>>")
-    first = F.struct(
-        F.lit(0).cast("long").alias("chunk_no"), F.sha2("json0", 256).alias("d")
+    # One exchange serves both groupings; a key's chunks go to different tasks.
+    rows = placed.repartition(*by_chunk).groupBy(*by_chunk, "_o").agg(
+        F.first("_r").alias("_r"), F.count(F.lit(1)).alias("copies")
     )
-    later = F.coalesce("ds", none)
-    every = F.sort_array(
-        F.when(F.col("json0").isNull(), later).otherwise(F.concat(F.array(first), later))
+    unique = F.when(F.col("copies") == 1, F.col("_o")).otherwise(
+        F.raise_error(F.lit("child ordinals are not unique")).cast("bigint")
     )
-    rows = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
-    digests = F.concat(
-        F.lit('{"rows":'), rows.cast("string"), F.lit(',"chunks":["'),
-        F.array_join(F.transform(every, lambda d: d["d"]), '","'), F.lit('"]}'),
+    lists = rows.groupBy(*by_chunk).agg(
+        F.sort_array(F.collect_list(F.struct(unique.alias("_o"), "_r"))).alias("rows")
     )
-    return (
-        F.when(F.col("ds").isNull(), F.col("json0"))
-        .when(F.col("json0").isNull() & (F.size("ds") == 1), F.col("json1"))
-        .otherwise(digests)
+    return lists.select(
+        *by_chunk, F.size("rows").cast("long").alias("n"),
+        F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON).alias("json"),
     )
 
 
 def child_list(
     child: DataFrame, name: str, order: str, columns: list[str], chunk: int = CHUNK
 ) -> DataFrame:
-    """One JSON value per key: the array itself, or count and chunk digests.
+    """One JSON value per key: row count and the digests of :func:`child_chunks` in order.
 
-    ``order`` must be a whole number that is unique within a key, as column,
-    partition and key ordinals are; a chunk then holds at most ``chunk`` rows.
-    Repeated ordinals that overfill a chunk fail the job.
+    The form is the same whatever the length of the list.
     """
-    first = _first_chunk(child, order, columns, chunk)
-    later = _later_chunks(child, order, columns, chunk)
-    return first.join(later, KEY, "full_outer").select(*KEY, _list_value().alias(name))
+    digests = F.transform(F.sort_array("ds"), lambda d: d["d"])
+    value = F.concat(
+        F.lit('{"rows":'), F.col("n").cast("string"), F.lit(',"chunks":["'),
+        F.array_join(digests, '","'), F.lit('"]}'),
+    )
+    return (
+        child_chunks(child, order, columns, chunk)
+        .groupBy(*KEY)
+        .agg(F.sum("n").alias("n"),
+             F.collect_list(F.struct("chunk_no", F.sha2("json", 256).alias("d"))).alias("ds"))
+        .select(*KEY, value.alias(name))
+    )
 
 
 def canonical_state(
@@ -111,12 +87,7 @@ def canonical_state(
     """
     out = objects.select(*KEY, "kind", F.to_json(F.struct(*attributes), _JSON).alias("_attrs"))
     for name, (df, order, cols) in children.items():
-        out = (
-            out.join(_first_chunk(df, order, cols, chunk), KEY, "left")
-            .join(_later_chunks(df, order, cols, chunk), KEY, "left")
-            .withColumn(name, _list_value())
-            .drop("n0", "json0", "n1", "json1", "ds")
-        )
+        out = out.join(child_list(df, name, order, cols, chunk), KEY, "left")
     lists = [
         F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("null"))) for n in children
     ]

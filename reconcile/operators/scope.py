@@ -103,44 +103,31 @@ def git_scope(
     )
 
 
-FLAT_DIGEST_PATHS = 200_000
-
-
 def layout_digest(files: DataFrame, fan_out: int = 4096) -> DataFrame:
     """One digest over the set of script paths.
 
-    Paths are spread over ``fan_out`` buckets by their hash, each bucket is
-    digested from its sorted, length-prefixed paths, and the bucket digests are
-    digested in bucket order.  Buckets are even whatever the tree looks like,
-    so no task sees more than about ``1/fan_out`` of the paths; raise
-    ``fan_out`` with the tree, it is part of the digest's definition.
-
-    ``fan_out=1`` is the flat digest of the sorted list.  It passes through one
-    task and is refused for more than ``FLAT_DIGEST_PATHS`` paths.
+    Paths are spread over ``fan_out * fan_out`` leaves by their hash. A leaf is
+    digested from its sorted, length-prefixed paths, a bucket from its leaves and
+    the whole from its buckets, so no task gathers more than ``fan_out`` digests,
+    and a leaf holds a few paths up to 10^10 of them. There is one definition for
+    trees of every size; ``fan_out`` is part of it.
     """
-    if fan_out == 1 and files.limit(FLAT_DIGEST_PATHS + 1).count() > FLAT_DIGEST_PATHS:
-        raise ValueError("too many paths for a flat digest: use a larger fan_out")
-    bucket = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long") % fan_out
-    per_bucket = (
-        files.select("path")
-        .distinct()
-        .groupBy(bucket.alias("bucket"))
+    spread = F.conv(F.substring(F.sha2("path", 256), 1, 12), 16, 10).cast("long")
+    digest = lambda order: F.sha2(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "d"))), lambda r: r["d"]), "\n"), 256
+    )
+    leaves = (
+        files.select("path").distinct()
+        .groupBy((spread % fan_out).alias("bucket"), (F.floor(spread / fan_out) % fan_out).alias("leaf"))
         .agg(F.sort_array(F.collect_list("path")).alias("ps"), F.count(F.lit(1)).alias("n"))
-        .select(
-            "bucket",
-            "n",
-            F.sha2(
-                F.unhex(F.array_join(F.transform("ps", ck.length_prefixed_hex), "")), 256
-            ).alias("d"),
+        .withColumn(
+            "d", F.sha2(F.unhex(F.array_join(F.transform("ps", ck.length_prefixed_hex), "")), 256)
         )
     )
-    if fan_out == 1:
-        top = F.first("d")
-    else:
-        rows = F.sort_array(F.collect_list(F.struct("bucket", "d")))
-        top = F.sha2(F.array_join(F.transform(rows, lambda r: r["d"]), "\n"), 256)
-    return per_bucket.agg(
-        F.coalesce(top, F.sha2(F.lit(""), 256)).alias("layout_digest"),
+    buckets = leaves.groupBy("bucket").agg(digest("leaf").alias("d"), F.sum("n").alias("n"))
+    return buckets.agg(
+        F.when(F.count(F.lit(1)) == 0, F.sha2(F.lit(""), 256)).otherwise(digest("bucket"))
+        .alias("layout_digest"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("scripts"),
     )
 

@@ -126,6 +126,10 @@ RUN_CATEGORIES = [
 ]
 
 
+#: Marker flags in one long; more markers take more masks.
+MASK_BITS = 63
+
+
 def _markers(phases, categories) -> list[str]:
     found: list[str] = []
     for _, ms in phases:
@@ -133,10 +137,7 @@ def _markers(phases, categories) -> list[str]:
     for cat in categories:
         for group in cat.all_of:
             found += group
-    found = list(dict.fromkeys(found))
-    if len(found) > 63:
-        raise ValueError("at most 63 distinct markers")
-    return found
+    return list(dict.fromkeys(found))
 
 
 def _has(marker: str):
@@ -166,23 +167,31 @@ def classify_points(
     a point then ORs the flags of its frames.
     """
     marks = _markers(phases, setup + running)
-    bits = {m: i for i, m in enumerate(marks)}
-    mask = sum(
-        (F.when(_has(m), F.lit(1 << i)).otherwise(0)
-         for m, i in bits.items()),
-        F.lit(0).cast("long"),
-    )
-    flagged = frames.select("frame_id", mask.cast("long").alias("mask"))
+    bits = {m: divmod(i, MASK_BITS) for i, m in enumerate(marks)}
+    words = range(-(-len(marks) // MASK_BITS))
+
+    def mask(word):
+        return sum(
+            (F.when(_has(m), F.lit(1 << i)).otherwise(0) for m, (w, i) in bits.items() if w == word),
+            F.lit(0).cast("long"),
+        )
+
+    flagged = frames.select("frame_id", *[mask(w).cast("long").alias(f"mask{w}") for w in words])
     seen = (
-        points.select("point_id", F.explode_outer("frames").alias("frame_id"))
+        points.select("point_id", "bytes", F.explode_outer("frames").alias("frame_id"))
         .join(flagged, "frame_id", "left")
         .groupBy("point_id")
-        .agg(F.coalesce(F.bit_or("mask"), F.lit(0)).alias("seen"))
+        .agg(F.first("bytes").alias("bytes"),
+             *[F.coalesce(F.bit_or(f"mask{w}"), F.lit(0)).alias(f"seen{w}") for w in words])
     )
 
     def any_of(ms):
-        want = sum(1 << bits[m] for m in ms)
-        return F.col("seen").bitwiseAND(F.lit(want)) != 0
+        found = F.lit(False)
+        for word in words:
+            want = sum(1 << i for m in set(ms) for w, i in [bits[m]] if w == word)
+            if want:
+                found = found | (F.col(f"seen{word}").bitwiseAND(F.lit(want)) != 0)
+        return found
 
     phase = None
     for name, ms in phases:
@@ -200,10 +209,7 @@ def classify_points(
 
     label = F.when(F.col("phase") == "setup", category(setup)).otherwise(category(running))
     return (
-        points.select("point_id", "bytes")
-        .join(seen, "point_id", "left")
-        .withColumn("seen", F.coalesce("seen", F.lit(0)))
-        .withColumn("phase", phase)
+        seen.withColumn("phase", phase)
         .select("point_id", "bytes", "phase", F.concat("phase", F.lit(":"), label).alias("category"))
     )
 

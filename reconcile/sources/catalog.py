@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reconcile.functions import kinds, paths
@@ -36,13 +38,33 @@ def normalize_catalog(raw: DataFrame) -> DataFrame:
     return df.withColumns(low).withColumn("normalized_key", key)
 
 
+def write_snapshot_rows(rows: DataFrame, path: str) -> str:
+    """Snapshot rows in a new folder below ``path``; returns its name."""
+    folder = f"rows-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    return folder
+
+
+def write_snapshot_meta(meta: DataFrame, path: str, folder: str) -> None:
+    meta.withColumn("folder", F.lit(folder)).write.mode("overwrite").parquet(f"{path}/meta")
+
+
 def write_snapshot(rows: DataFrame, meta: DataFrame, path: str) -> None:
-    """Publish snapshot rows, then the metadata that makes them valid.  A reader
-    trusts rows only through matching metadata, so a run that dies in between
-    leaves an unused snapshot and no wrong one."""
-    rows.write.mode("overwrite").partitionBy("database_name").parquet(f"{path}/rows")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    """Publish snapshot rows in a folder of their own, then the metadata that names it.
+
+    Rows are never overwritten, so a run that dies in between leaves the earlier
+    snapshot in force. Folders of earlier versions stay for readers that use them.
+    """
+    write_snapshot_meta(meta, path, write_snapshot_rows(rows, path))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/meta")
+    """Rows and metadata of the version in force. Metadata is left out where the
+    rows of a database don't add up to its count."""
+    meta = spark.read.parquet(f"{path}/meta")
+    named = meta.select("folder").first()  # one folder per version
+    if named is None:
+        raise ValueError("the snapshot holds no database")
+    rows = spark.read.parquet(f"{path}/{named.folder}")
+    counts = rows.groupBy("database_name").agg(F.count(F.lit(1)).alias("object_count"))
+    return rows, meta.drop("folder").join(counts, ["database_name", "object_count"], "left_semi")

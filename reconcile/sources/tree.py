@@ -9,27 +9,31 @@ from reconcile.functions import checksums as ck, paths
 SQL_GLOB = "*.[sS][qQ][lL]"
 
 
-# Deepest component of a script path: database/schema/tables/_migrations/table/file.
-LAYOUT_DEPTH = 6
-
-
 def _hidden_globs(spark: SparkSession, root: str) -> list[str]:
-    """Globs for names starting with ``_`` or ``.``, which Spark's listing skips
-    below a root but accepts as roots.  Only globs that match are returned."""
+    """Globs for folders starting with ``_`` or ``.``, which Spark's listing skips
+    below a root but accepts as roots.  Only globs that match are returned; the
+    walk ends at the first depth without any entry."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
-    for depth in range(LAYOUT_DEPTH):
-        glob = root.rstrip("/") + "/*" * depth + "/[_.]*"
+    level = root.rstrip("/")
+
+    def matches(glob: str) -> bool:
         path = jvm.org.apache.hadoop.fs.Path(glob)
-        if path.getFileSystem(conf).globStatus(path):
-            out.append(glob)
+        return bool(path.getFileSystem(conf).globStatus(path))
+
+    while matches(f"{level}/*"):
+        if matches(f"{level}/[_.]*"):
+            out.append(f"{level}/[_.]*")
+        level += "/*"
     return out
 
 
 def scan_tree(spark: SparkSession, root: str, glob: str = SQL_GLOB) -> DataFrame:
     """``path`` (relative, ``/``), ``content``, ``length`` of files below ``root``.
 
+    Folders named with a leading ``_`` or ``.`` are read at every depth. Files
+    named so are not: Spark's listing leaves them out even when given as roots.
     Content is read only where a query uses it.  Links are followed by the
     file system's listing.
     """

@@ -84,29 +84,22 @@ def flat_digest(names):
     return h.hexdigest()
 
 
-def bucket_digest(names, fan_out):
-    buckets = {}
+def tree_digest(names, fan_out):
+    tree = {}
     for n in set(names):
-        b = int(hashlib.sha256(n.encode()).hexdigest()[:8], 16) % fan_out
-        buckets.setdefault(b, []).append(n)
-    return hashlib.sha256(
-        "\n".join(flat_digest(buckets[b]) for b in sorted(buckets)).encode()).hexdigest()
+        spread = int(hashlib.sha256(n.encode()).hexdigest()[:12], 16)
+        tree.setdefault(spread % fan_out, {}).setdefault(spread // fan_out % fan_out, []).append(n)
+    join = lambda ds: hashlib.sha256("\n".join(ds).encode()).hexdigest()
+    return join(join(flat_digest(leaves[k]) for k in sorted(leaves)) for _, leaves in sorted(tree.items()))
 
 
 @CONFIG
 @given(st.lists(st.text(alphabet="ab/ü\U0001f600", max_size=6), min_size=1, max_size=60))
 def test_layout_digest(spark, names):
     df = spark.createDataFrame([(n,) for n in names], "path string")
-    assert sp.layout_digest(df, fan_out=1).first().layout_digest == flat_digest(names)
-    assert sp.layout_digest(df, fan_out=7).first().layout_digest == bucket_digest(names, 7)
-
-
-def test_flat_digest_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(sp, "FLAT_DIGEST_PATHS", 2)
-    df = spark.createDataFrame([(x,) for x in "abc"], "path string")
-    with pytest.raises(ValueError, match="fan_out"):
-        sp.layout_digest(df, fan_out=1)
-    assert sp.layout_digest(df, fan_out=2).first().scripts == 3
+    for fan_out in (1, 7):
+        got = sp.layout_digest(df, fan_out).first()
+        assert (got.layout_digest, got.scripts) == (tree_digest(names, fan_out), len(set(names)))
 
 
 def test_layout_digest_separates_paths(spark):

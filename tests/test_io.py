@@ -33,6 +33,7 @@ def script_tree(tmp_path):
         "db/S/tables/_migrations/T1/002_abcdef0_two.sql": mark,
         "db/S/tables/_migrations/T1/notes.sql": "x",
         "db/checks/c.sql": "SELECT 1", "db/S/old/tables/x.sql": "x", "db/S/widgets/w.sql": "x",
+        "db/a/b/c/d/e/_f/_g/views/z.sql": "x",
         "db/S/tables/readme.md": "no", ".hidden/s/tables/t.sql": "x", "top/only.sql": "x",
     })
     return tmp_path
@@ -44,7 +45,8 @@ def test_scan_tree(spark, rows, script_tree):
     assert got["db/S/tables/T1.SQL"] == "object"
     assert got["db/S/tables/_migrations/T1/001_abcdef0_one.sql"] == "transition"
     assert got["db/S/tables/_migrations/T1/notes.sql"] == "ignored"
-    assert len(got) == 10 and ".hidden/s/tables/t.sql" in got
+    assert "db/a/b/c/d/e/_f/_g/views/z.sql" in got
+    assert len(got) == 11 and ".hidden/s/tables/t.sql" in got
     assert "db/S/tables/readme.md" not in got
     m = {r.normalized_key: r for r in tree.manifest_of(files.filter("path like 'db/%'")).collect()}
     import hashlib
@@ -53,7 +55,8 @@ def test_scan_tree(spark, rows, script_tree):
     assert rows(tree.transitions_of(files), "normalized_key", "ordinal") == [("s/tables/t1", "001")]
     assert rows(tree.discover_databases(files), "database_name") == [("db",)]
     assert rows(vd.layout_violations(files), "path", "severity") == [
-        ("db/S/old/tables/x.sql", "error"), ("db/S/widgets/w.sql", "warning")]
+        ("db/S/old/tables/x.sql", "error"), ("db/S/widgets/w.sql", "warning"),
+        ("db/a/b/c/d/e/_f/_g/views/z.sql", "error")]
     with pytest.raises(ValueError):
         tree.require_databases(files.filter("path like 'top/%'"))
 
@@ -207,6 +210,13 @@ def test_snapshot_publication(spark, tmp_path, rows):
     sc.write_snapshot(r, snapshot_meta(r), str(tmp_path / "snap"))
     got, meta = sc.read_snapshot(spark, str(tmp_path / "snap"))
     assert got.count() == 1 and meta.first().object_count == 1
+    # a run that dies between rows and metadata leaves the earlier snapshot in force
+    sc.write_snapshot_rows(r.limit(0), str(tmp_path / "snap"))
+    assert rows(sc.read_snapshot(spark, str(tmp_path / "snap"))[0]) == rows(r)
+    # rows that don't add up to the metadata's count are not valid
+    short = sc.write_snapshot_rows(r.limit(0), str(tmp_path / "snap"))
+    sc.write_snapshot_meta(snapshot_meta(r), str(tmp_path / "snap"), short)
+    assert sc.read_snapshot(spark, str(tmp_path / "snap"))[1].isEmpty()
 
 
 EVENTS = ("database_name string, event_type string, schema_name string, object_name string, "

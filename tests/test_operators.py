@@ -46,9 +46,13 @@ def test_hot_object_state_is_chunked(spark):
                                     KEYS + ", kind string, note string")
     kids = {"columns": (child.unionByName(small), "o", ["v", "w"])}
     got = {r.normalized_key: r for r in fp.canonical_state(objects, ["note"], kids, chunk).collect()}
-    assert got["small"].state == '{"note":null,"columns":[{"v":10,"w":null},{"v":20,"w":null}]}'
+    one = lambda n, text: {"rows": n, "chunks": [hashlib.sha256(text.encode()).hexdigest()]}
+    assert json.loads(got["small"].state) == {
+        "note": None, "columns": one(2, '[{"v":10,"w":null},{"v":20,"w":null}]')}
+    chunks = fp.child_chunks(*kids["columns"], chunk).filter("normalized_key = 'small'").collect()
+    assert [(r.chunk_no, r.n, r.json) for r in chunks] == [(0, 2, '[{"v":10,"w":null},{"v":20,"w":null}]')]
     assert got["bare"].state == '{"note":null,"columns":null}'
-    assert got["far"].state == '{"note":null,"columns":[{"v":1,"w":null}]}'
+    assert json.loads(got["far"].state) == {"note": None, "columns": one(1, '[{"v":1,"w":null}]')}
     digests = []
     for lo in range(0, n, chunk):
         part = [{"v": i * 7, "w": None} for i in range(lo, min(lo + chunk, n))]
@@ -418,3 +422,16 @@ def test_changed_since_scan(spark, rows):
     now = spark.createDataFrame([("pa", "y"), ("pb", "x\r\n")], "object_path string, content string")
     assert rows(vd.changed_since_scan(m, now), "message") == [
         ("a: file changed after scan",), ("c: script not found",)]
+
+
+def test_markers_beyond_one_mask(spark, rows):
+    from reconcile.operators import telemetry as tl
+
+    frames = spark.createDataFrame([(i, f"<m{i}>") for i in range(150)], "frame_id long, frame string")
+    points = spark.createDataFrame([(i, 10 + i, [i]) for i in range(150)] + [(150, 1, []), (151, 2, None)],
+                                   "point_id long, bytes long, frames array<long>")
+    phases = [(f"p{i}", (f"<m{i}>",)) for i in range(150)]
+    other = [tl.Category("other", ())]
+    got = tl.classify_points(points, frames, phases, other, other)
+    assert set(rows(got, "point_id", "bytes", "phase")) == set(
+        [(i, 10 + i, f"p{i}") for i in range(150)] + [(150, 1, "setup"), (151, 2, "setup")])

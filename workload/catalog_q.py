@@ -277,10 +277,12 @@ _LE = "||".join(f"substr({_PIECE},{15 - 2 * i},2)" for i in range(8))
 @query("e9_layout_digest", f"""
 select sha256(string_agg(d, chr(10) order by bucket)) as layout_digest,
  cast(sum(n) as bigint) as scripts from (
- select cast(('0x'||substr(sha256(path),1,8))::bigint%256 as bigint) as bucket, count(*) as n,
+ select bucket, sum(n) as n, sha256(string_agg(d, chr(10) order by leaf)) as d from (
+ select ('0x'||substr(sha256(path),1,12))::bigint%256 as bucket,
+  ('0x'||substr(sha256(path),1,12))::bigint//256%256 as leaf, count(*) as n,
   sha256(unhex(string_agg({_LE}||hex(encode(path)), '' order by encode(path)))) as d
  from (select distinct path from (select path from tree_files union all select path from authored) f) p
- group by 1) b""")
+ group by 1,2) l group by 1) b""")
 def _(v):
     files = v.tree_files.select("path").unionByName(v.authored.select("path"))
     return sp.layout_digest(files, fan_out=256)
