@@ -1,28 +1,35 @@
-"""Substring deduplication: units of lines hashed, all but the earliest removed.
-
-A line is cut into units: sentences, joined until a unit has ``LEAST_WORDS``
-words, a short rest joining the unit before it. A repeated line repeats all its
-units, and a passage inside a longer line repeats its own, since units fall into
-step again at the first long sentence. Units are normalised (lower case, one
-space between words) and hashed to 128 bits; digests are grouped globally, the
+"""Substring deduplication: units of texts hashed, all but the earliest removed.
+
+Units are of four levels: every line; every sentence, within its line and across
+the line breaks of its paragraph; every paragraph, that is a run of lines without
+an empty one between; and passages cut where a pair of tokens has the smallest
+hash around it, which fall into step inside a repeated passage wherever it begins
+and without any full stop. Units are normalised (lower case, one space between
+words) and hashed to 128 bits; digests are grouped globally over all levels, the
 occurrence with the smallest (doc_id, row, offset) stays and every other one is
-reported with its offsets in the original text.
+reported with its offsets in the original text. Reported units may lie inside
+each other.
 
 Scale: one pass over the texts writes units below the shared folder; grouping
 pre-aggregates per task, so a line in a third of all documents arrives as one row
 a task, and the join back to its occurrences is an equi join the adaptive
 planner splits. Texts are not shuffled.
 
-Defined cases: null and empty texts have no units; lines shorter than
-``LEAST_WORDS`` words are never removed; a row without doc_id ranks last; rows
-that repeat a doc_id rank by their place in the table. An empty table gives no
-rows; other columns are not read.
+Defined cases: null and empty texts have no units. With ``short``, as in the
+query, units of any length count. Without it only those of ``least`` words or
+``LEAST_CHARS`` code points do, so that lines of unspaced scripts count as well,
+and the sentences of a line also count joined until they have ``least`` words.
+Passages have ``least`` tokens at least; in unspaced scripts each code point is a
+token. A row without doc_id ranks last; rows that repeat a doc_id rank by their
+place in the table. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,46 +38,90 @@ from pyspark.sql import functions as F
 
 from .components import written
 
-LEAST_WORDS = 8
+LEAST_WORDS, LEAST_CHARS = 8, 40
+#: Documents whose units leave the Python worker together.
+TOGETHER = 256
+_PARAGRAPH = re.compile(r"[^\r\n]+(?:(?:\r\n|\r|\n)[^\S\r\n]*[^\s][^\r\n]*)*")
 _LINE = re.compile(r"[^\r\n]+")
-_SENTENCE = re.compile(r"[^.!?]*[.!?]*")
-
-
-def units(text: str | None, least: int = LEAST_WORDS) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of the units of a text, in order."""
-    out = []
-    for line in _LINE.finditer(text or ""):
-        own: list[tuple[int, int, list[str]]] = []
-        words: list[str] = []
-        start = line.start()
-        for m in _SENTENCE.finditer(text, line.start(), line.end()):
-            words += m.group().lower().split()
-            if len(words) >= least:
-                own.append((start, m.end(), words))
-                words, start = [], m.end()
-        if words and own:
-            first, _, earlier = own[-1]
-            own[-1] = (first, line.end(), earlier + words)
-        for a, b, w in own:
-            raw = text[a:b]
-            a += len(raw) - len(raw.lstrip())
-            out.append((a, a + len(raw.strip()), len(w), " ".join(w)))
-    return out
-
-
-def unit_table(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+_STOPS = ".!?\u0589\u061f\u06d4\u0964\u0965\u1362\u3002\uff01\uff0e\uff1f\uff61"
+_SENTENCE = re.compile(rf"[^{_STOPS}]*[{_STOPS}]*")
+# Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs have no spaces between words
+_TOKEN = re.compile(r"[^\s\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|\S")
+
+
+@functools.lru_cache(1 << 16)
+def _code(token: str) -> int:
+    return zlib.crc32(token.lower().encode("utf-8", "replace"))
+
+
+def _passages(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
+    """Spans between cuts; a cut is where a pair of tokens hashes lowest among ``least - 1`` on either side."""
+    spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    n = len(spans) - 1
+    if n < least:
+        return []
+    code = np.array([_code(text[a:b]) for a, b in spans], np.uint64)
+    h = (code[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    reach = max(least - 1, 1)
+    most = np.full(reach, np.iinfo(np.uint64).max)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, h, most)), 2 * reach + 1)
+    lowest = (h < around[:, :reach].min(axis=1)) & (h <= around[:, reach + 1 :].min(axis=1))
+    cuts = [0, *np.flatnonzero(lowest).tolist(), len(spans)]
+    return [(spans[a][0], spans[b - 1][1]) for a, b in zip(cuts, cuts[1:]) if b - a >= least]
+
+
+def _joined(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
+    """Sentences of a line joined until they have ``least`` words; a short rest joins the unit before it."""
+    own: list[tuple[int, int]] = []
+    words, at = 0, start
+    for m in _SENTENCE.finditer(text, start, end):
+        words += len(m.group().split())
+        if words >= least:
+            own.append((at, m.end()))
+            words, at = 0, m.end()
+    if words and own:
+        own[-1] = (own[-1][0], end)
+    return own
+
+
+def units(text: str | None, least: int = LEAST_WORDS, short: bool = False) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normalised) of the units of a text, by start and end."""
+    text = text or ""
+    spans: set[tuple[int, int]] = set()
+    for paragraph in _PARAGRAPH.finditer(text):
+        spans.add(paragraph.span())
+        spans.update(m.span() for m in _SENTENCE.finditer(text, *paragraph.span()))
+        spans.update(_passages(text, *paragraph.span(), least))
+        for line in _LINE.finditer(text, *paragraph.span()):
+            spans.add(line.span())
+            spans.update(m.span() for m in _SENTENCE.finditer(text, *line.span()))
+            if not short:  # else each of the joined sentences counts by itself
+                spans.update(_joined(text, *line.span(), least))
+    out = {}
+    for a, b in spans:
+        raw = text[a:b]
+        words = raw.lower().split()
+        a += len(raw) - len(raw.lstrip())
+        b = a + len(raw.strip())
+        if words and (short or len(words) >= least or b - a >= LEAST_CHARS):
+            out[a, b] = (a, b, len(words), " ".join(words))
+    return [out[k] for k in sorted(out)]
+
+
+def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -> DataFrame:
     """doc_id, row, start, end, n_words and the digest (high, low) of every unit."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc_id, row, text in zip(b["doc_id"].astype("Int64"), b["row"], b["text"]):
-                for start, end, n, unit in units(text, least):
-                    d = hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest()
-                    rows.append((doc_id, row, start, end, n, d))
-            digest = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
-            out = pd.DataFrame([r[:5] for r in rows], columns=["doc_id", "row", "start", "end", "n_words"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"), high=digest[:, 0], low=digest[:, 1])
+            for at in range(0, len(b), TOGETHER):
+                part, rows = b.iloc[at : at + TOGETHER], []
+                for doc_id, row, text in zip(part["doc_id"].astype("Int64"), part["row"], part["text"]):
+                    for start, end, n, unit in units(text, least, short):
+                        d = hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest()
+                        rows.append((doc_id, row, start, end, n, d))
+                digest = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
+                out = pd.DataFrame([r[:5] for r in rows], columns=["doc_id", "row", "start", "end", "n_words"])
+                yield out.assign(doc_id=out["doc_id"].astype("Int64"), high=digest[:, 0], low=digest[:, 1])
 
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -79,14 +130,14 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return base.mapInPandas(run, "doc_id long, row long, start int, end int, n_words int, high long, low long")
 
 
-def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -> DataFrame:
     """One row per removed unit.
 
     doc_id, start, end and n_words of the removed occurrence, kept_doc_id and
     kept_start of the one that stays, copies (occurrences in all), row.
     """
-    table = written(unit_table(docs, least), "units")
-    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), "row", "start", "doc_id")
+    table = written(unit_table(docs, least, short), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     groups = (
         table.groupBy("high", "low")
         .agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("copies"))
@@ -102,7 +153,7 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -> DataFrame:
     """``docs`` with repeated units cut out of ``text``, all columns kept, and the
     array ``removed`` of struct(start, end) in the original text.
 
@@ -110,7 +161,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     columns = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")]
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    spans = repeats(docs, least).select("row", "start", "end")
+    spans = repeats(docs, least, short).select("row", "start", "end")
     named = rows.select("row", *columns).join(spans, "row")
     removed = named.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
@@ -118,9 +169,11 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
         out = []
         for t, spans in zip(text, removed):
-            for s in reversed(spans if spans is not None else []):
-                t = t[: s["start"]] + t[s["end"] :]
-            out.append(t)
+            kept, at = [], 0  # spans come by start and may overlap
+            for s in spans if spans is not None else []:
+                kept.append(t[at : s["start"]] if s["start"] > at else "")
+                at = max(at, s["end"])
+            out.append(t if t is None else "".join(kept) + t[at:])
         return pd.Series(out)
 
     joined = docs.withColumns({"__key": F.col("doc_id"), "__hash": F.xxhash64("text")}).join(
@@ -131,4 +184,4 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True).drop("row")

@@ -297,6 +297,23 @@ def test_units_against_brute_force(spark):
     assert got == want
 
 
+def test_short_wrapped_and_unspaced_units(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
+    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60)) + "\u3002"
+    verse = "roses are red\nviolets are blue\nsugar is sweet"
+    texts = ["All rights reserved\nfirst own", "second own\nALL rights  reserved", f"a1 a2 {passage} a3", f"b1 {passage} b2 b3", chinese + "\u7532\u4e59", "\u4e19" + chinese, verse, "own\n\n" + verse.replace("\n", " "), "One. Two words. Own", "Else. Two words."]
+    got = {}
+    for r in unit_dedup.repeats(docs_of(spark, texts), short=True).collect():
+        assert " ".join(texts[r.doc_id][r.start : r.end].lower().split()) == " ".join(texts[r.kept_doc_id][r.kept_start :].lower().split())[: len(" ".join(texts[r.doc_id][r.start : r.end].split()))]
+        got.setdefault((r.doc_id, r.kept_doc_id), []).append(texts[r.doc_id][r.start : r.end])
+    assert got[1, 0] == ["ALL rights  reserved"] and got[9, 8] == ["Two words."]
+    assert sum(len(t.split()) for t in got[3, 2]) >= 20 and all(t in passage for t in got[3, 2])
+    assert sum(map(len, got[5, 4])) >= 20 and verse.replace("\n", " ") in got[7, 6]
+    cut = {r.doc_id: r.text for r in unit_dedup.without_repeats(docs_of(spark, texts), short=True).collect()}
+    assert cut[0] == texts[0] and cut[1] == "second own\n" and cut[7] == "own\n\n" and cut[9] == "Else. "
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 
