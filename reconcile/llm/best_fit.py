@@ -40,7 +40,8 @@ TOGETHER = 256
 #: Pieces numbered by one window partition, about.
 RANK_ROWS = 50_000
 
-_LATIN = "À-ÖØ-öø-įı-ɏ"
+#: Latin letters whose lower case is one of them too; others, such as U+018F, go to the tokenizer.
+_LATIN = "".join(c for c in map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)]) if len(c.lower()) == 1 and c.lower() < "\u0250")
 _PLAIN = re.compile(rf"[\t-\r\x20-\x7e{_LATIN}]*")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+")
 

@@ -243,6 +243,16 @@ def test_packing(spark, odd):
     assert best_fit.pack_documents(empty(spark)).count() == 0
 
 
+def test_word_shortcut_for_every_letter():
+    encode = best_fit.Encoder(best_fit.tokenizer_path())
+    letters = [c for c in map(chr, [*range(0x250), 0x250, 0x2C65]) if c.isprintable() or c in "\t\n\v\f\r"]
+    texts = [t for c in letters for t in (c, c + "la", "La" + c, c + "W" + c, f"1{c}2", f"'{c}s .{c}.")]
+    texts += ["\u018fla", "\u0190W\u0186", "AZ\u018fRBAYCAN X\u018fB\u018fRL\u018fR"]
+    for t, got, want in zip(texts, encode(texts), encode.whole(texts), strict=True):
+        assert got == want, t
+    assert all(best_fit._PLAIN.fullmatch(c.lower()) for c in letters if best_fit._PLAIN.fullmatch(c))
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(6)
     for _ in range(40):
