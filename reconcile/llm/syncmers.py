@@ -15,8 +15,9 @@ Scale: one shuffle, in which documents travel with their text by ranges of
 doc_id to find their successor. Ranges are a thousand ids wide on average; the
 step from one range to the next takes one row per range.
 
-Defined cases: null text is empty; a text with fewer than k tokens has one
-anchor, the hash of all tokens, so empty texts share a fingerprint; equal texts
+Defined cases: null text is empty; a text without an anchor, as all with fewer
+than k tokens, has the hash of all tokens as its one anchor, so empty texts share
+a fingerprint and different short texts don't; equal texts
 have equal fingerprints; rows with equal doc_id are ordered by text. Rows
 without doc_id come first. An empty table gives no rows.
 """
@@ -59,15 +60,13 @@ def anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataF
     found = F.when(
         n >= k,
         F.transform(starts, lambda i: F.struct(i.alias("position"), F.xxhash64(*[at(h, i, j) for j in range(k)]).alias("hash"))),
-    ).otherwise(whole)
-    return with_m.withColumn(out, found).drop(h, m)
+    ).otherwise(F.array().cast("array<struct<position:int,hash:bigint>>"))
+    some = F.when(F.size(out) > 0, F.col(out)).otherwise(whole)
+    return with_m.withColumn(out, found).withColumn(out, some).drop(h, m)
 
 
 def sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:
-    """Add ``out``: the smallest distinct anchor hashes of ``text``, sorted.
-
-    A text of k tokens or more without an anchor has an empty list.
-    """
+    """Add ``out``: the smallest distinct anchor hashes of ``text``, sorted; at least one."""
     a = f"__a_{out}"
     return (
         anchors(df, text, a)

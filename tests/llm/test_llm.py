@@ -91,6 +91,14 @@ def test_syncmer_anchors_are_context_free(spark):
     assert 0.25 < len(a) / len(words) < 0.6
 
 
+def test_short_texts_differ(spark):
+    texts = [" ".join(f"s{n}x{i}y{j}" for j in range(n)) for n in range(1, 11) for i in range(40)]
+    rows = syncmers.sketch(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "f").collect()
+    assert all(r.f for r in rows) and len({tuple(r.f) for r in rows}) == len(texts)
+    pair = spark.createDataFrame([(rows[200].f, rows[201].f)], "a array<long>, b array<long>")
+    assert pair.select(syncmers.likeness("a", "b").alias("x")).first().x == 0.0
+
+
 def test_edited_texts(spark, odd):
     rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     got = sorted(
