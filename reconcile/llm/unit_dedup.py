@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .components import written
 
 LEAST_WORDS, LEAST_CHARS = 8, 40
+#: Row number of tables that are read more than once; made by the place in the table where it is missing.
+ROW = "__row"
 #: Documents whose units leave the Python worker together.
 TOGETHER = 256
 _PARAGRAPH = re.compile(r"[^\r\n]+(?:(?:\r\n|\r|\n)[^\S\r\n]*[^\s][^\r\n]*)*")
@@ -125,7 +127,7 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -
 
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
     )
     return base.mapInPandas(run, "doc_id long, row long, start int, end int, n_words int, high long, low long")
 
@@ -157,13 +159,11 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = Fal
     """``docs`` with repeated units cut out of ``text``, all columns kept, and the
     array ``removed`` of struct(start, end) in the original text.
 
-    Rows that share a doc_id are joined by their text as well.
+    The rows are written once with a row number, by which spans come back to them.
     """
-    columns = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")]
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    spans = repeats(docs, least, short).select("row", "start", "end")
-    named = rows.select("row", *columns).join(spans, "row")
-    removed = named.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    spans = repeats(rows, least, short).select(F.col("row").alias(ROW), "start", "end")
+    removed = spans.groupBy(ROW).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -176,9 +176,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = Fal
             out.append(t if t is None else "".join(kept) + t[at:])
         return pd.Series(out)
 
-    joined = docs.withColumns({"__key": F.col("doc_id"), "__hash": F.xxhash64("text")}).join(
-        removed, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left"
-    )
+    joined = rows.join(removed, ROW, "left")
     cut_text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed"))
     return joined.withColumn("text", cut_text).select(*docs.columns, "removed")
 

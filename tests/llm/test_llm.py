@@ -332,6 +332,15 @@ def test_short_wrapped_and_unspaced_units(spark):
     assert cut[0] == texts[0] and cut[1] == "second own\n" and cut[7] == "own\n\n" and cut[9] == "Else. "
 
 
+def test_first_of_repeated_rows_keeps_its_text(spark):
+    text = "this line has more than eight words so it is one unit"
+    other = "a second text of its own with just as many words in one line"
+    rows = [(1, text), (1, text), (None, other), (None, other), (None, "short"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.text) for r in unit_dedup.without_repeats(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(1, text), (1, ""), (None, other), (None, ""), (None, "short"), (2, None)], key=repr)
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 
