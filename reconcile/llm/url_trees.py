@@ -6,10 +6,12 @@ character entropy, parameter counts and the statistics of its host suffix. The
 trees learn from the labelled urls, that is those with a verdict by rule, and
 from none of the rules themselves.
 
-Training reads a bounded sample: the ``SAMPLE`` labelled urls with the smallest
-hash. Suffix statistics come from the same sample, so their table has at most
-``SAMPLE`` rows and may be broadcast. Judging is one pass without a shuffle; all
-expressions are built-in functions and the trees run in the JVM.
+Suffix statistics count all labelled rows, one row a task and suffix before the
+shuffle; their table joins the urls as an ordinary join, which Spark broadcasts
+where it measures the table as small and splits at hot suffixes where not. Only
+the fit reads a bounded sample: the ``SAMPLE`` distinct labelled urls with the
+smallest hash, each with its copies as weight. All expressions are built-in
+functions and the trees run in the JVM.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path,
 fit no rule, and are judged by the trees like any other; without labelled urls,
@@ -127,8 +129,7 @@ class Trees:
 
 
 def _with_suffix(features: DataFrame, suffixes: DataFrame) -> DataFrame:
-    # at most SAMPLE suffixes
-    return features.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
+    return features.join(suffixes, "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
 
 
 def _vector(features: DataFrame) -> DataFrame:
@@ -136,23 +137,24 @@ def _vector(features: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Fit on rows of lexical features with ``label`` (1: block, 0: allow)."""
+    """Fit on rows with ``url``, ``suffix`` and ``label`` (1: block, 0: allow); a url has one label."""
     from .components import written
 
-    order = [F.xxhash64("url"), "url", "label"]
-    few = written(labelled.select("url", "suffix", "label", *NUMBERS[:-2]).orderBy(*order).limit(sample), "url-sample")
-    seen = {r["label"]: r["count"] for r in few.groupBy("label").count().collect()}
-    if len(seen) < 2:
-        return Trees(None, None, "block" if 1.0 in seen else "allow")
     suffixes = written(
-        few.groupBy("suffix").agg(
-            ((F.sum("label") + PRIOR / 2) / (F.count(F.lit(1)) + PRIOR)).alias("suffix_rate"),
-            F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_seen"),
-        ),
-        "url-suffixes",
+        labelled.groupBy("suffix").agg(F.sum("label").alias("blocked_rows"), F.count(F.lit(1)).alias("rows")), "url-suffixes"
+    )
+    seen = suffixes.agg(F.sum("blocked_rows").alias("blocked"), F.sum("rows").alias("rows")).first()
+    if not seen["rows"] or seen["blocked"] in (0, seen["rows"]):
+        return Trees(None, None, "block" if seen["blocked"] else "allow")
+    suffixes = suffixes.select(
+        "suffix",
+        ((F.col("blocked_rows") + PRIOR / 2) / (F.col("rows") + PRIOR)).alias("suffix_rate"),
+        F.log1p(F.col("rows").cast("double")).alias("suffix_seen"),
     )
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", cacheNodeIds=False)
-    return Trees(gbt.fit(_vector(_with_suffix(few, suffixes))), suffixes, "allow")
+    urls = labelled.groupBy("url").agg(F.any_value("label").alias("label"), F.count(F.lit(1)).cast("double").alias("copies"))
+    few = written(urls.orderBy(F.xxhash64("url"), "url").limit(sample), "url-sample")
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", weightCol="copies", featuresCol="features", cacheNodeIds=False)
+    return Trees(gbt.fit(_vector(_with_suffix(lexical(host_and_path(few)), suffixes))), suffixes, "allow")
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

@@ -456,6 +456,20 @@ def test_url_rules(spark):
     assert url_trees.judge(few.where("false")).count() == 0
 
 
+def test_url_statistics_of_all_rows(spark, monkeypatch):
+    fitted = []
+    fit = url_trees.GBTClassifier.fit
+    monkeypatch.setattr(url_trees.GBTClassifier, "fit", lambda self, df: fitted.append(df.select("url", "copies").collect()) or fit(self, df))
+    urls = ["http://hot.net/"] * 200 + [f"http://s{i}.net/{i}" for i in range(30)] + [f"http://www.example.com/de/{i}" for i in range(30)] + [f"http://s{i}.org/fr/{i}" for i in range(30)]
+    labelled = url_trees.lexical(url_trees.host_and_path(docs_of(spark, urls).select(F.col("text").alias("url"))))
+    labelled = labelled.withColumn("label", (F.col("suffix") != "org").cast("double"))
+    trees = url_trees.train(labelled, sample=70)
+    seen = {r.suffix: (r.suffix_rate, round(np.expm1(r.suffix_seen))) for r in trees.suffixes.collect()}
+    assert seen == {"net": (231 / 232, 230), "com": (31 / 32, 30), "org": (1 / 32, 30)}
+    assert len({r.url for r in fitted[0]}) == len(fitted[0]) == 70
+    assert all(r.copies == (200 if r.url == "http://hot.net/" else 1) for r in fitted[0])
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
