@@ -19,8 +19,8 @@ thousands of near copies is done after a few linear rounds, and no link is lost.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: fewer
 words than a shingle: the whole sequence is one shingle; no words or null text:
-an empty set, linked with nothing. A row without doc_id takes part; it is kept
-only where no row of its component has an id. Rows that repeat a doc_id are
+an empty set, linked with nothing. One row of each component is kept, the first
+by (doc_id, row) with rows without doc_id last; rows that repeat a doc_id are
 judged by their own text. An empty table gives no rows; other columns are not read.
 """
 
@@ -40,6 +40,8 @@ CHUNKS, SYMBOLS, ERRORS, BITS = 8, 4, 1, 16
 SLOTS = CHUNKS * SYMBOLS
 #: Pairs that agree in fewer places aren't confirmed: at a likeness of 0.8 the chance is 1e-8.
 LEAST_EQUAL = 12
+#: Row number of tables that are read more than once; made by the place in the table where it is missing.
+ROW = "__row"
 SPACES = b" \t\n\v\f\r"
 #: Members of a key that meet the others in one round; rounds in which they come from the largest component.
 MEETING, INNER_ROUNDS = 4, 2
@@ -122,20 +124,21 @@ def _node(hashes: np.ndarray) -> int | None:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, n_shingles, node (one id for each distinct set; null for empty) and sig."""
+    """doc_id, row, key, n_shingles, node (one id for each distinct set; null for empty) and sig."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"),
+                "row": b["row"],
                 "key": b["key"],
                 "n_shingles": [len(h) for h in sets],
                 "node": pd.array([_node(h) for h in sets], dtype="Int64"),
                 "sig": [signature(h) if len(h) else None for h in sets],
             })
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, n_shingles long, node long, sig array<int>")
+    return _keyed(docs).mapInPandas(run, "doc_id long, row long, key long, n_shingles long, node long, sig array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -143,6 +146,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
     )
 
 
@@ -258,7 +262,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, row.
 
     Documents are linked when their shingle sets of ``words`` words reach a
     Jaccard likeness of ``percent`` / 100; a component is named by its smallest doc_id.
@@ -277,21 +281,26 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     sets = written(_sets(docs, owners, words), "sets")
     labels = _linked(members, sets, percent)
     named = rows.drop("sig", "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = named.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
     named = written(named, "named")
-    out = named.join(smallest, "component", "left")
-    component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    out = named.join(first, "component", "left")
+    alone = F.col("component").isNull()
     return out.select(
-        "doc_id", "n_shingles", component_id.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component_id).alias("kept"),
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("first.row"))).alias("kept"), "row",
     )
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies, all columns kept."""
-    gone = near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each group of near copies, all columns kept.
+
+    The rows are written once with a row number, by which they are dropped.
+    """
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    gone = near_groups(rows, words, percent).where("not kept").select(F.col("row").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2).drop("row")

@@ -173,6 +173,15 @@ def test_near_odd_rows(spark, odd):
     assert hamming_join.near_groups(empty(spark)).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    rng = random.Random(13)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a + " end"), (1, b), (2, b + " end"), (2, c), (3, d), (3, d + " end"), (None, d + " more"), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.text) for r in hamming_join.drop_near(docs).collect()), key=repr)
+    assert got == sorted([(None, a), (1, b), (2, c), (3, d), (4, ""), (4, None)], key=repr)
+
+
 def test_hamming_guarantee():
     """Any two signatures within the guaranteed distance share a key."""
     rng = np.random.default_rng(1)
