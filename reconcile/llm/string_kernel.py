@@ -146,14 +146,22 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` whose language was identified, all columns kept, without a shuffle."""
+    """``docs`` without null texts and texts without letters, all columns kept, without a shuffle.
+
+    A null ``lang`` gets the predicted language; it stays null where nothing was learned.
+    """
     model = train(docs)
 
     @F.pandas_udf("string")
     def language(text: pd.Series) -> pd.Series:
-        return pd.Series(model.predict(list(text))[0])
-
-    return docs.where(language(F.col("text").cast("string")) != UNKNOWN)
+        if not model.languages:
+            return pd.Series([None if letters(t) is None else "" for t in text], dtype=object)
+        return pd.Series([lang if score > 0 else None for lang, score in zip(*model.predict(list(text)))], dtype=object)
+
+    # as if it were not deterministic, so that the filter and the column share one call
+    found = docs.withColumn("__lang", language.asNondeterministic()(F.col("text").cast("string"))).where("__lang is not null")
+    lang = F.coalesce("lang", F.nullif("__lang", F.lit("")).cast(docs.schema["lang"].dataType))
+    return found.withColumn("lang", lang).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

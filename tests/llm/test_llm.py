@@ -224,6 +224,16 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in string_kernel.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_unlabelled_corpus_is_kept_and_null_lang_is_filled(spark):
+    texts = ["the of and ing", "der die und", None, "12 %%", ""]
+    kept = string_kernel.drop_unidentified(docs_of(spark, texts, lang=None)).collect()
+    assert {(r.text, r.lang) for r in kept} == {(texts[0], None), (texts[1], None)}
+    rows = [(i, "the of and ing tion" if i % 2 else "der die ung sch und", "en" if i % 2 else "de") for i in range(60)]
+    rows += [(100, "the and of tion", None), (101, "die und der sch", None), (102, "the of and", "xx"), (103, None, None)]
+    got = {r.doc_id: r.lang for r in string_kernel.drop_unidentified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[100], got[101], got[102]) == ("en", "de", "xx") and 103 not in got and len(got) == 63
+
+
 # --- packing ------------------------------------------------------------------------
 
 
