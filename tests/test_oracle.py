@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from workload import check
+from workload import check, registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -41,5 +41,5 @@ def test_flagship_counts(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    # The listing of the input folder is the only query SQL cannot state.
-    assert set(QUERIES) - set(ORACLE) == {"a1_scan_tree"}
+    # The listing of the input folder is the only query of the library SQL cannot state.
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"a1_scan_tree"}
