@@ -5,10 +5,16 @@ list per child table (columns, checks, keys, ...).  Child lists are built in
 chunks of consecutive ordinals, so one object with very many children never
 gathers its raw rows in one task.  In the state a list is its row count and the
 digests of its chunks; the chunks themselves are rows (:func:`child_chunks`).
+
+Entries may hold lists of their own (the columns of a key, say), to any depth.  They
+are folded from the bottom up: the finished value of an inner list joins the entry it
+belongs to by the ordinals above it, so no level ever gathers rows of another.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reconcile import KEY
@@ -22,19 +28,54 @@ def fingerprint(kind: Column, state: Column) -> Column:
     return F.sha2(F.concat(kind, F.lit(":"), F.nullif(state, F.lit(""))), 256)
 
 
+class ChildList(NamedTuple):
+    """One list of an object: its rows, their order column and their columns.
+
+    ``lists`` are lists inside each entry.  Their rows carry the object's key and
+    the order column of every list around them.
+    """
+
+    rows: DataFrame
+    order: str
+    columns: list[str]
+    lists: dict[str, ChildList | tuple] = {}
+
+
+def _object_json(attributes: Column, names: list[str]) -> Column:
+    """``attributes``, a JSON object, continued by the JSON values in ``names``, null where NULL."""
+    if not names:
+        return attributes
+    # The object loses its closing brace and is continued.
+    head = F.regexp_replace(attributes, r"\}\z", "")
+    more = [F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("null"))) for n in names]
+    sep = F.when(F.length(head) > 1, ",").otherwise("")
+    return F.concat(head, sep, F.concat_ws(",", *more), F.lit("}"))
+
+
 def child_chunks(
-    child: DataFrame, order: str, columns: list[str], chunk: int = CHUNK
+    child: DataFrame, order: str, columns: list[str], chunk: int = CHUNK,
+    lists: dict[str, ChildList | tuple] | None = None, by: list[str] = KEY,
 ) -> DataFrame:
     """Readable form of child lists: per key and ``chunk_no`` the rows' ordered JSON array.
 
     ``order`` must be a whole number that is unique within a key, as column,
     partition and key ordinals are; a chunk then holds at most ``chunk`` rows.
-    Repeated ordinals fail the job before any list is built.
+    Repeated ordinals fail the job before any list is built.  ``by`` are the columns
+    a list belongs to: the key, and the ordinals of the lists around it.
     """
-    by_chunk = [*KEY, "chunk_no"]
+    by_chunk = [*by, "chunk_no"]
+    for name, inner in (lists or {}).items():
+        inner = ChildList(*inner)
+        value = child_list(
+            inner.rows, name, inner.order, inner.columns, chunk, inner.lists, [*by, order]
+        )
+        child = child.join(value, [*by, order], "left")
+    entry = F.struct(*columns)
+    if lists:
+        entry = _object_json(F.to_json(entry, _JSON), list(lists))
     placed = child.select(
-        *KEY, F.floor(F.col(order) / chunk).alias("chunk_no"), F.col(order).alias("_o"),
-        F.struct(*columns).alias("_r"),
+        *by, F.floor(F.col(order) / chunk).alias("chunk_no"), F.col(order).alias("_o"),
+        entry.alias("_r"),
     )
     # One exchange serves both groupings; a key's chunks go to different tasks.
     rows = placed.repartition(*by_chunk).groupBy(*by_chunk, "_o").agg(
@@ -43,17 +84,17 @@ def child_chunks(
     unique = F.when(F.col("copies") == 1, F.col("_o")).otherwise(
         F.raise_error(F.lit("child ordinals are not unique")).cast("bigint")
     )
-    lists = rows.groupBy(*by_chunk).agg(
+    gathered = rows.groupBy(*by_chunk).agg(
         F.sort_array(F.collect_list(F.struct(unique.alias("_o"), "_r"))).alias("rows")
     )
-    return lists.select(
-        *by_chunk, F.size("rows").cast("long").alias("n"),
-        F.to_json(F.transform("rows", lambda r: r["_r"]), _JSON).alias("json"),
-    )
+    entries = F.transform("rows", lambda r: r["_r"])
+    text = F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]")) if lists else F.to_json(entries, _JSON)
+    return gathered.select(*by_chunk, F.size("rows").cast("long").alias("n"), text.alias("json"))
 
 
 def child_list(
-    child: DataFrame, name: str, order: str, columns: list[str], chunk: int = CHUNK
+    child: DataFrame, name: str, order: str, columns: list[str], chunk: int = CHUNK,
+    lists: dict[str, ChildList | tuple] | None = None, by: list[str] = KEY,
 ) -> DataFrame:
     """One JSON value per key: row count and the digests of :func:`child_chunks` in order.
 
@@ -65,37 +106,31 @@ def child_list(
         F.array_join(digests, '","'), F.lit('"]}'),
     )
     return (
-        child_chunks(child, order, columns, chunk)
-        .groupBy(*KEY)
+        child_chunks(child, order, columns, chunk, lists, by)
+        .groupBy(*by)
         .agg(F.sum("n").alias("n"),
              F.collect_list(F.struct("chunk_no", F.sha2("json", 256).alias("d"))).alias("ds"))
-        .select(*KEY, value.alias(name))
+        .select(*by, value.alias(name))
     )
 
 
 def canonical_state(
     objects: DataFrame,
     attributes: list[str],
-    children: dict[str, tuple[DataFrame, str, list[str]]],
+    children: dict[str, ChildList | tuple],
     chunk: int = CHUNK,
 ) -> DataFrame:
     """``objects`` (keys, ``kind``, attributes) with ``state`` and ``live_checksum``.
 
-    ``children`` maps a list name to (rows, order column, columns), see
-    :func:`child_list`.  A missing child list is NULL in the JSON, as are NULL
-    attributes.  All joins use the partitioning by key the lists come in.
+    ``children`` maps a list name to its :class:`ChildList`, or to the tuple of its
+    fields.  A missing child list is NULL in the JSON, as are NULL attributes, at
+    every level.  All joins use the partitioning by key the lists come in.
     """
     out = objects.select(*KEY, "kind", F.to_json(F.struct(*attributes), _JSON).alias("_attrs"))
-    for name, (df, order, cols) in children.items():
-        out = out.join(child_list(df, name, order, cols, chunk), KEY, "left")
-    lists = [
-        F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("null"))) for n in children
-    ]
-    # The attribute object loses its closing brace and is continued.
-    head = F.regexp_replace("_attrs", r"\}\z", "")
-    sep = F.when(F.length(head) > 1, ",").otherwise("")
-    body = F.concat_ws(",", *lists) if lists else F.lit("")
-    state = F.concat(head, sep if lists else F.lit(""), body, F.lit("}"))
+    for name, child in children.items():
+        c = ChildList(*child)
+        out = out.join(child_list(c.rows, name, c.order, c.columns, chunk, c.lists), KEY, "left")
+    state = _object_json(F.col("_attrs"), list(children))
     return out.select(*KEY, "kind", state.alias("state")).withColumn(
         "live_checksum", fingerprint(F.col("kind"), F.col("state"))
     )

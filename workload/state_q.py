@@ -72,6 +72,44 @@ def _(v):
     return fp.child_list(lines, "columns", "l_linenumber", ["l_suppkey"], 2).drop("database_name")
 
 
+# Customers hold orders, which hold line items and, of those, the returned ones. Order
+# keys span several chunks; line numbers end below the chunk size.
+_INNER = """(select l_orderkey, '{{"rows":'||count(*)||',"chunks":["'||sha256('['||
+ string_agg('{{"l_linenumber":'||l_linenumber||',"l_partkey":'||l_partkey||'}}', ','
+ order by l_linenumber)||']')||'"]}}' as value from items {where} group by 1)"""
+_NESTED = f"""select 'db' as database_name, 'crm/tables/c'||c_custkey as normalized_key,
+ '{{"c_mktsegment":"'||c_mktsegment||'","orders":'||coalesce(o.value,'null')||'}}' as state
+from customer left join (select o_custkey, '{{"rows":'||cast(sum(n) as bigint)||',"chunks":["'||
+ string_agg(sha256('['||entries||']'), '","' order by c)||'"]}}' as value
+ from (select o_custkey, o_orderkey//4096 as c, count(*) as n, string_agg('{{"o_orderkey":'||
+  o_orderkey||',"note":null,"items":'||coalesce(i.value,'null')||',"returned":'||
+  coalesce(r.value,'null')||'}}', ',' order by o_orderkey) as entries
+  from orders left join {_INNER.format(where="")} i on i.l_orderkey=o_orderkey
+  left join {_INNER.format(where="where l_returnflag='R'")} r on r.l_orderkey=o_orderkey
+  group by 1,2) t group by 1) o on o_custkey=c_custkey"""
+
+
+def _nested_states(v):
+    db = F.lit("db").alias("database_name")
+    own = lambda col: cat("=crm/tables/c", col).alias("normalized_key")
+    customers = v.table("customer").select(db, own("c_custkey"), F.lit("tables").alias("kind"), "c_mktsegment")
+    orders = v.table("orders")
+    lines = v.items.join(orders.select("o_orderkey", "o_custkey"), C("l_orderkey") == C("o_orderkey")).select(
+        db, own("o_custkey"), "o_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    fields = ["l_linenumber", "l_partkey"]
+    return fp.canonical_state(customers, ["c_mktsegment"], {"orders": fp.ChildList(
+        orders.select(db, own("o_custkey"), "o_orderkey", F.lit(None).cast("string").alias("note")),
+        "o_orderkey", ["o_orderkey", "note"], {
+            "items": (lines, "l_linenumber", fields),
+            "returned": (lines.filter("l_returnflag = 'R'"), "l_linenumber", fields),
+        })})
+
+
+@query("e4_nested_state", f"select {K}, state, sha256('tables:'||state) as live_checksum from ({_NESTED}) s")
+def _(v):
+    return _nested_states(v).select(*KEY, "state", "live_checksum")
+
+
 @query("e4_text_state", f"""
 select database_name, normalized_key, sha256(kind||':'||text) as live_checksum
 from manifest join documents using (doc_id)""")
