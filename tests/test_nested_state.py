@@ -6,7 +6,6 @@ import random
 
 import pytest
 
-from reconcile import KEY
 from reconcile.operators import fingerprint as fp
 
 K = "database_name string, normalized_key string"
@@ -85,4 +84,3 @@ def test_repeated_inner_ordinals_fail(spark):
     inner = spark.createDataFrame([("db", "a", 0, 1, 1), ("db", "a", 0, 1, 2)], f"{K}, o int, p int, v int")
     with pytest.raises(Exception, match="not unique"):
         fp.child_list(outer, "l", "o", ["o"], lists={"m": (inner, "p", ["v"])}).collect()
-    assert KEY == ["database_name", "normalized_key"]

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from reconcile.operators import (
     catalog as ct, evolution as ev, fingerprint as fp, history as hs, provenance as pv,
 )
+from reconcile.plans import maintained as mp
+from reconcile.plans.reconciliation import compute_plan
 from reconcile.session import work_path
 from reconcile.sources import (
     catalog as sc, commits as cm, plan_json as pj, reports as rp, snapshots as ss, tree,
@@ -355,6 +357,37 @@ def _(v):
     return ch.read_object_ddl(v.spark, state).drop("updated_at")
 
 
+def _event_files(v, parts):
+    """The events in several files by id, read as a stream one file a batch."""
+    path = work_path(v.spark, "event-files")
+    v.table("events").repartitionByRange(parts, "event_id").write.parquet(path)
+    rows = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rows.withColumn("doc_id", C("event_id") % v.n_docs)
+
+
+@query("k1_maintained_plan", f"""
+select {K}, object_path, scenario, planned_action, counter, blocked, needs_provenance, message,
+ ex as "exists", drift, prior, ntr as transitions from attrs""")
+def _(v):
+    """A plan of no changes, brought up to date by three batches of events."""
+    kept = lambda df, name: (df.write.parquet(p := work_path(v.spark, name)), v.spark.read.parquet(p))[1]
+    inputs = mp.Inputs(
+        kept(v.manifest, "manifest"), kept(v.catalog, "catalog"),
+        kept(hs.latest_object_history(v.history), "latest"), v.transitions, v.live)
+    path = work_path(v.spark, "plan-store")
+    none = v.object_ddl.limit(0)
+    mp.create_plan(compute_plan(inputs.manifest, inputs.catalog, None, none, inputs.transitions,
+                                inputs.live, latest=inputs.latest), path)
+    kind = F.when(C("event_type") == "error", "ALTER_TABLE").otherwise("GRANT_DATABASE")
+    events = _event_files(v, 3).join(inputs.manifest, "doc_id").select(
+        "database_name", kind.alias("event_type"), "schema_name", "object_name",
+        C("event_id").alias("version"), "ts")
+    mp.maintain(events, path, work_path(v.spark, "plan-checkpoint"), inputs).awaitTermination()
+    return mp.read_plan(v.spark, path).select(
+        *KEY, "object_path", "scenario", "planned_action", "counter", "blocked",
+        "needs_provenance", "message", "exists", "drift", "prior", "transitions")
+
+
 @query("k2_stream_suspects", f"""
 select e.database_name, e.normalized_key, max(e.ddl_version) as ddl_version
 from ddl_events e join latest l on l.database_name=e.database_name
