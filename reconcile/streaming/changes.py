@@ -116,3 +116,31 @@ def stream_suspects(events: DataFrame, latest: DataFrame) -> DataFrame:
     return events.join(recorded, KEY, "inner").filter(moved)
 
 
+def stream_uncleared(
+    events: DataFrame, audits: DataFrame, horizon: str = "1 day", lateness: str = "1 hour"
+) -> DataFrame:
+    """Change events that no audit row has caught up with, against a log that moves too.
+
+    ``events``: keys, ``ddl_version``, ``ts``; ``audits``: keys, ``applied_ddl_version``,
+    ``created_at``, both streams.  An audit row of the same key with at least the
+    event's version, written at most ``horizon`` before or after it, clears the event,
+    whichever arrives first.  An event is given out once the watermark shows that none
+    can come any more.  Rows more than ``lateness`` behind are dropped, as the
+    watermark says: a late event isn't reported, a late audit row clears nothing.
+
+    Both sides are kept in the state for ``horizon`` plus ``lateness`` only, spread by key.
+    """
+    left = events.select(*KEY, "ddl_version", "ts").withWatermark("ts", lateness)
+    right = audits.select(
+        *[F.col(k).alias(f"_{k}") for k in KEY], "applied_ddl_version", "created_at"
+    ).withWatermark("created_at", lateness)
+    span = F.expr(f"interval {horizon}")
+    same = [F.col(k) == F.col(f"_{k}") for k in KEY]
+    on = (
+        same[0] & same[1] & (F.col("applied_ddl_version") >= F.col("ddl_version"))
+        & (F.col("created_at") >= F.col("ts") - span) & (F.col("created_at") <= F.col("ts") + span)
+    )
+    # An event may meet several audit rows; those pairs end here.
+    return left.join(right, on, "left_outer").filter(F.col("_normalized_key").isNull()).select(
+        *KEY, "ddl_version", "ts"
+    )

@@ -403,6 +403,38 @@ def _(v):
     return v.spark.read.parquet(state).groupBy(*KEY).agg(F.max("ddl_version").alias("ddl_version"))
 
 
+@query("k2_uncleared_suspects", f"""
+select {K}, ddl_version from flagged f join object_ddl o using ({K}) where suspect""")
+def _(v):
+    """Events and audit rows as two streams of several batches; the log arrives later."""
+    at = C("ts").cast("timestamp")
+    events = v._events_on_docs.filter("event_type = 'error'").join(v.manifest, "doc_id").select(
+        *KEY, C("event_id").alias("ddl_version"), at.alias("ts"))
+    audits = v.history.filter(C("event").isin("applied", "adopted")).select(
+        *KEY, "applied_ddl_version", C("created_at").cast("timestamp").alias("created_at"))
+    # Times follow the ids only roughly, so nothing may count as late: the horizon covers all times.
+    ends = v.table("events").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    days = (ends.hi - ends.lo).days + 1
+    done = v.spark.range(1).select(
+        F.lit("").alias("database_name"), F.lit("").alias("normalized_key"),
+        F.lit(0).cast("long").alias("version"), F.lit(ends.hi + (ends.hi - ends.lo) * 4).alias("at"))
+    paths = work_path(v.spark, "events"), work_path(v.spark, "audits")
+    for df, path, names in zip((events, audits), paths, (["ddl_version", "ts"], ["applied_ddl_version", "created_at"])):
+        # The last file only moves the clock on, so that everything before it is settled.
+        df.repartitionByRange(3, names[0]).write.parquet(path)
+        done.toDF(*KEY, *names).coalesce(1).write.mode("append").parquet(path)
+    streams = [v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(p)
+               for df, p, n in zip((events, audits), paths, (2, 1))]
+    left = ch.stream_uncleared(*streams, f"{days} days", f"{days} days")
+    sink, mark = work_path(v.spark, "uncleared"), work_path(v.spark, "uncleared-checkpoint")
+    q = (left.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True)
+         .start(sink))
+    q.awaitTermination()
+    rows = v.spark.read.schema(left.schema).parquet(sink).join(
+        hs.latest_object_history(v.history), KEY, "left_semi")
+    return rows.groupBy(*KEY).agg(F.max("ddl_version").alias("ddl_version"))
+
+
 @query("k3_stream_latest_history", f"""
 select {K}, id, checksum, live_definition_checksum, applied_ddl_version from latest""")
 def _(v):
@@ -411,3 +443,28 @@ def _(v):
     rows = v.spark.readStream.schema(v.history.schema).parquet(path)
     state = _run(v, tail.stream_latest_history(rows), "latest")
     return tail.read_latest_history(v.spark, state)
+
+
+_LATEST = ["id", "checksum", "live_definition_checksum", "applied_ddl_version"]
+
+
+def _kept_state(v):
+    """The log in two halves by id, each streamed into the same state by a run of its own."""
+    log, mark = work_path(v.spark, "history-log"), work_path(v.spark, "latest-state")
+    half = C("id") >= F.lit(v.table("events").count() // 2)
+    for part in (~half, half):
+        v.history.filter(part).write.mode("append").parquet(log)
+        rows = v.spark.readStream.schema(v.history.schema).parquet(log)
+        tail.keep_latest_history(rows, mark).awaitTermination()
+    return mark
+
+
+@query("k3_latest_from_state", f"select {K}, {', '.join(_LATEST)} from latest")
+def _(v):
+    return tail.latest_from_state(v.spark, _kept_state(v))
+
+
+@query("k3_changed_in_state", f"""
+select {K}, {', '.join(_LATEST)} from latest where id >= (select count(*)//2 from events)""")
+def _(v):
+    return tail.changed_in_state(v.spark, _kept_state(v), 1, 1)
