@@ -69,7 +69,7 @@ def write_run_report(
     if plan is not None:
         write_plans(plan, f"{path}/plan", command)
     else:
-        for part in ("objects", "header"):
+        for part in ("objects", "header", "blockers", "schemas"):
             spark.createDataFrame([], PLAN_OBJECT).write.mode("overwrite").json(
                 f"{path}/plan/{part}"
             )

@@ -257,7 +257,7 @@ def _(v):
     path = work_path(v.spark, "plan-doc")
     schemas = ct.schema_actions(v.manifest, v.schemas_on_server)
     pj.write_plan_documents(v.plan, schemas, path)
-    return pj.read_plans(v.spark, path, multi_line=False).select(
+    return pj.read_plans(v.spark, path, "parts").select(
         *KEY, "object_path", "planned_action", "checksum", "exists")
 
 
@@ -276,7 +276,7 @@ def _(v):
 def _(v):
     path = work_path(v.spark, "snapshot-doc")
     ss.write_snapshot_document(v.snapshot_cur, path)
-    return ss.read_snapshots(v.spark, path).drop("version", "blocked")
+    return ss.read_snapshots(v.spark, path, "parts").drop("version", "blocked")
 
 
 @query("a7_read_reports", """
