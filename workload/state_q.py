@@ -9,7 +9,7 @@ from reconcile.plans import maintained as mp
 from reconcile.plans.reconciliation import compute_plan
 from reconcile.session import work_path
 from reconcile.sources import (
-    catalog as sc, commits as cm, plan_json as pj, reports as rp, snapshots as ss, tree,
+    catalog as sc, commits as cm, plan_json as pj, reports as rp, snapshots as ss, walk,
 )
 from reconcile.streaming import changes as ch, tail
 from .registry import query
@@ -235,10 +235,43 @@ def _(v):
 # --- sources -----------------------------------------------------------------
 
 
-@query("a1_scan_tree")
+_TREE = """(select text, 'db'||doc_id%2||case doc_id%5 when 0 then '/.drafts/'||source
+ when 1 then '/_old/deep/er/'||source when 2 then '/'||source||'/tables/_migrations/o'||doc_id
+ when 3 then '/'||source||'/views' else '/'||source end||case doc_id%4 when 0 then '/.o' when 1 then '/_o'
+ else '/o' end||doc_id||case doc_id%7 when 0 then '.SQL' when 1 then '.txt' else '.sql' end as path
+ from documents)"""
+
+
+def _script_folder(v):
+    """Every document as a file, in folders of several depths, some names hidden."""
+    i = C("doc_id")
+    folder = (F.when(i % 5 == 0, cat("=/.drafts/", "source")).when(i % 5 == 1, cat("=/_old/deep/er/", "source"))
+              .when(i % 5 == 2, cat("=/", "source", "=/tables/_migrations/o", "doc_id"))
+              .when(i % 5 == 3, cat("=/", "source", "=/views")).otherwise(cat("=/", "source")))
+    name = F.when(i % 4 == 0, "/.o").when(i % 4 == 1, "/_o").otherwise("/o")
+    ends = F.when(i % 7 == 0, ".SQL").when(i % 7 == 1, ".txt").otherwise(".sql")
+    root = work_path(v.spark, "scripts")
+    path = F.concat(cat("=db", i % 2), folder, name, i.cast("string"), ends)
+    walk.write_scripts(v.table("documents").select(path.alias("path"), C("text").alias("content")), root)
+    return root
+
+
+@query("a1_scan_tree", f"""
+select path, strlen(text) as length, sha256(text) as checksum from {_TREE} t where path not like '%.txt'""")
+def _(v):
+    root = _script_folder(v)
+    files = walk.read_scripts(walk.walk_tree(v.spark, root), root)
+    return files.select("path", "length", F.sha2("content", 256).alias("checksum"))
+
+
+@query("a1_folder_sizes", f"""
+select folder, count(*) as files, cast(sum(n) as bigint) as bytes from (select strlen(text) as n,
+ regexp_replace(path, '/[^/]*$', '') as folder from {_TREE} t where path not like '%.txt') u group by 1""")
 def _(v):
-    # The given tables are the only files there are; the glob picks them.
-    return tree.scan_tree(v.spark, v.sf, "*.parquet").select("path", "length")
+    """Sizes come from the walk alone; no content is read."""
+    files = walk.walk_tree(v.spark, _script_folder(v))
+    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 @query("a4_a5_plan_lines", f"""
