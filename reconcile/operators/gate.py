@@ -223,6 +223,12 @@ def workflow_regressions(
     )
 
 
+def workflow_phases(reports: DataFrame, names: list[str] = WORKFLOW_MS) -> DataFrame:
+    """Long (scenario, phase, ms) rows of reports with a ``timings`` struct, absent = 0."""
+    phases = F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(F.col(f"timings.{n}"), F.lit(0)))])
+    return reports.select("scenario", F.explode(phases).alias("phase", "ms"))
+
+
 # Compared fields by report kind: scalars, then lists, then masked path lists.
 REPORT_FIELDS = {
     "plan": (["io.query_calls", "timings.l1_cache_hit"], ["setup_steps"], []),
@@ -268,11 +274,11 @@ def compare_reports(base: DataFrame, cur: DataFrame, kind: str) -> DataFrame:
             ),
         )
 
-    def path_label():
+    def path_label(name="timings.plan_db_path", given=F.lit(True)):
         x, y = F.col("b.timings.plan_db_path"), F.col("c.timings.plan_db_path")
         return F.when(
-            (x != "") & ~x.eqNullSafe(y),
-            F.format_string("timings.plan_db_path: baseline=%s actual=%s", x, y),
+            given & (x != "") & ~x.eqNullSafe(y),
+            F.format_string(f"{name}: baseline=%s actual=%s", x, F.coalesce(y, F.lit(""))),
         )
 
     def counts():
@@ -299,6 +305,10 @@ def compare_reports(base: DataFrame, cur: DataFrame, kind: str) -> DataFrame:
     checks += [listed(f, mask=True) for f in masked]
     if kind == "plan":
         checks += [path_label(), counts()]
+    if kind in ("apply", "blocked") and "timings" in base.columns and "timings" in cur.columns:
+        # An apply report without any measured time has no timings to compare.
+        timed = [F.coalesce(F.col(f"{s}.timings.total_ms"), F.lit(0)) > 0 for s in "bc"]
+        checks.append(path_label("plan_db_path", F.lit(True) if kind == "blocked" else timed[0] | timed[1]))
     checks = [F.when(both, x) for x in checks] + [missing]
     found = F.filter(F.array(*checks), lambda m: m.isNotNull())
     return b.join(c, "scenario", "full_outer").select(

@@ -118,6 +118,14 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def empty_databases(databases: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per database whether ``rows`` holds none of it."""
+    seen = rows.select("database_name").distinct().withColumn("_seen", F.lit(True))
+    return databases.select("database_name").distinct().join(seen, "database_name", "left").select(
+        "database_name", F.col("_seen").isNull().alias("empty")
+    )
+
+
 def emptiness(df: DataFrame) -> DataFrame:
     """The same probe as a one-row frame."""
     return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))

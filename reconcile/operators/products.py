@@ -100,21 +100,19 @@ def metadata_records(plan: DataFrame, mode: str = "baseline") -> DataFrame:
     if mode not in ("baseline", "repair"):
         raise ValueError(f"unknown metadata mode: {mode}")
     adopt = F.col("planned_action") == "adopt_existing"
-    keep = adopt if mode == "baseline" else adopt | F.col("planned_action").isin(REPAIRED)
-    records = plan.filter(keep).select(
+    # A blocked row refuses the run where the rows are chosen, so in the same pass
+    # and whatever columns are read.
+    refuse = F.raise_error(F.lit("plan is blocked: baseline refused")).cast("boolean")
+    keep = (
+        F.when(F.col("blocked"), refuse).otherwise(adopt) if mode == "baseline"
+        else adopt | F.col("planned_action").isin(REPAIRED)
+    )
+    return plan.filter(keep).select(
         *KEY,
         F.lit("object").alias("kind"),
         "checksum",
         F.when(adopt, "adopted").otherwise("applied").alias("event"),
     )
-    if mode == "repair":
-        return records
-    # The refusal is a row of its own, so it doesn't depend on there being records.
-    refuse = F.raise_error(F.lit("plan is blocked: baseline refused")).cast("string")
-    refused = plan.agg(F.coalesce(F.bool_or("blocked"), F.lit(False)).alias("blocked")).filter(
-        "blocked"
-    ).select(*[refuse.alias(c) for c in records.columns])
-    return records.unionByName(refused)
 
 
 def with_provenance(plan: DataFrame, commits: DataFrame) -> DataFrame:
@@ -172,6 +170,47 @@ def apply_outcome(
     )
 
 
+def run_outcome(
+    plan: DataFrame,
+    schemas: DataFrame,
+    transitions: DataFrame,
+    migrations: DataFrame,
+    failures: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`apply_outcome` with the pending change scripts counted in the same pass.
+
+    ``transitions`` are the authored scripts, ``migrations`` the recorded ones; a script
+    is pending where its table replays scripts and the log doesn't hold it.  The
+    plan is joined on its own key only and evaluated once.
+    """
+    log = migrations.select("database_name", F.col("normalized_key").alias("path"))
+    steps = transitions.join(log, ["database_name", "path"], "left_anti").groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("_steps")
+    )
+    action, zero = F.col("planned_action"), F.lit(0).cast("long")
+    due = action.isin("create_object", "update_existing_module")
+    skip = action.isin(
+        "adopt_existing", "skip_unchanged", "reprocess_changed", "reprocess_changed_blocked"
+    )
+    rows = plan.select(*KEY, "planned_action").join(steps, KEY, "left")
+    failed = zero
+    if failures is not None:
+        bad = failures.select(*KEY).distinct().withColumn("_bad", F.lit(True))
+        rows = rows.join(bad, KEY, "left")
+        failed = F.when(due & F.col("_bad"), 1).otherwise(zero)
+    replayed = F.when(action == "reprocess_changed", F.coalesce("_steps", zero)).otherwise(zero)
+    made = (F.col("action") == "create_schema").cast("long")
+    parts = rows.select(
+        "database_name", (due.cast("long") - failed + replayed).alias("applied"),
+        skip.cast("long").alias("skipped"), failed.alias("failed"),
+    ).unionByName(schemas.select(
+        "database_name", made.alias("applied"), (1 - made).alias("skipped"), zero.alias("failed"),
+    ))
+    return parts.groupBy("database_name").agg(
+        *[F.sum(c).alias(c) for c in ("applied", "skipped", "failed")]
+    )
+
+
 def audit_rows_by_kind(history: DataFrame) -> DataFrame:
     return history.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 

@@ -76,18 +76,19 @@ def tampered_transitions(
 def creation_records(plan: DataFrame, transitions: DataFrame) -> DataFrame:
     """Audit rows of created objects.  A new table already embodies all its
     change scripts, so those are recorded as applied along with it."""
-    made = plan.filter(F.col("planned_action") == "create_object")
-    own = made.select(
-        *KEY, F.lit("object").alias("kind"), "checksum", F.lit("applied").alias("event")
+    # A table has at most as many scripts as there are ordinals, so they travel to its
+    # row as one list and the plan is evaluated once.
+    step = F.struct(
+        F.col("path").alias("normalized_key"), F.lit("migration").alias("kind"), "checksum"
     )
-    tables = made.filter(F.col("kind") == "tables").select(
-        *KEY, F.col("checksum").alias("_table_checksum")
+    steps = transitions.groupBy(*KEY).agg(F.collect_list(step).alias("_steps"))
+    made = plan.filter(F.col("planned_action") == "create_object").select(*KEY, "kind", "checksum")
+    own = F.struct("normalized_key", F.lit("object").alias("kind"), "checksum")
+    filled = F.transform(
+        F.when(F.col("kind") == "tables", F.col("_steps")),
+        lambda s: s.withField("checksum", F.coalesce(s["checksum"], F.col("checksum"))),
     )
-    steps = transitions.join(tables, KEY, "inner").select(
-        "database_name",
-        F.col("path").alias("normalized_key"),
-        F.lit("migration").alias("kind"),
-        F.coalesce("checksum", "_table_checksum").alias("checksum"),
-        F.lit("applied").alias("event"),
+    rows = F.concat(F.array(own), F.coalesce(filled, F.array().cast("array<struct<normalized_key:string,kind:string,checksum:string>>")))
+    return made.join(steps, KEY, "left").select("database_name", F.explode(rows).alias("r")).select(
+        "database_name", "r.*", F.lit("applied").alias("event")
     )
-    return own.unionByName(steps)

@@ -57,15 +57,23 @@ def layout_violations(files: DataFrame) -> DataFrame:
 
 
 def invalid_components(files: DataFrame) -> DataFrame:
-    """Object paths with a database, schema or name that is no safe path level."""
+    """Paths with a level that is no safe name.
+
+    Of object paths the database, schema and name are looked at, of anything in the place
+    of a change script the schema, table and file name, whether or not the file is one.
+    """
     p = F.split("path", "/")
-    name = paths.strip_sql_ext(F.try_element_at(p, F.lit(4)))
-    ok = (
-        paths.valid_component(F.try_element_at(p, F.lit(1)))
-        & paths.valid_component(F.try_element_at(p, F.lit(2)))
-        & paths.valid_component(name)
+    level = lambda i: paths.valid_component(F.try_element_at(p, F.lit(i)))
+    name = paths.valid_component(paths.strip_sql_ext(F.try_element_at(p, F.lit(4))))
+    script = (
+        (F.size(p) >= 6)
+        & (F.try_element_at(p, F.lit(-4)) == "tables")
+        & (F.try_element_at(p, F.lit(-3)) == "_migrations")
+    )
+    bad = F.when(script, ~(level(-5) & level(-2) & level(-1))).when(
+        paths.classify_path(F.col("path")) == "object", ~(level(1) & level(2) & name)
     )
-    return files.filter((paths.classify_path(F.col("path")) == "object") & ~ok).select("path")
+    return files.filter(bad).select("path")
 
 
 def overlong_paths(files: DataFrame, limit: int = paths.MAX_KEY_UNITS) -> DataFrame:

@@ -61,6 +61,21 @@ def _(v):
         v.manifest.join(v.table("labels"), "doc_id").select(path.alias("path")))
 
 
+@query("c4_invalid_script_components", r"""
+select case doc_id%4 when 0 then database_name||'/a'||chr(92)||'b/tables/_migrations/'||object_name||'/001_abcdef0_s.sql'
+ when 1 then database_name||'/'||schema_name||'/tables/_migrations/../notes.sql'
+ else database_name||'/'||schema_name||'/tables/_migrations/'||object_name||'/x'||chr(92)||'.sql' end as path
+from manifest where doc_id%4<>3""")
+def _(v):
+    """Paths in the place of change scripts, most with one bad level."""
+    i, place = C("doc_id") % 4, "=/tables/_migrations/"
+    path = (F.when(i == 0, cat("database_name", "=/a\\b", place, "object_name", "=/001_abcdef0_s.sql"))
+            .when(i == 1, cat("database_name", "=/", "schema_name", place, "=../notes.sql"))
+            .when(i == 2, cat("database_name", "=/", "schema_name", place, "object_name", "=/x\\.sql"))
+            .otherwise(cat("database_name", "=/", "schema_name", place, "object_name", "=/notes.sql")))
+    return vd.invalid_components(v.manifest.select(path.alias("path")))
+
+
 @query("c5_overlong_paths", """
 select path, cast(u as int) as units from (select path, length(path)
  +len(regexp_extract_all(path,'[\\x{10000}-\\x{10FFFF}]')) as u

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from reconcile.operators import gate as gt, telemetry as tm
 from reconcile.plans.release_gate import release_gate
+from reconcile.schemas import WORKFLOW_MS
 from .catalog_q import _CLOSURE
 from .registry import query
+from .views import cat
 
 C = F.col
 
@@ -146,6 +148,102 @@ def _(v):
     return gt.compare_reports(v.reports(0), v.reports(1), "apply")
 
 
+# Reports of the other kinds: one per customer, from its even or odd orders.
+_RUN = """select o_orderkey%2 as run, 'c'||o_custkey as scenario, o_custkey as cust, count(*) as n,
+ count(*) filter (o_orderstatus='P') as p, max(o_orderkey%3) as x, max(o_orderkey) as k
+from orders group by 1,2,3"""
+_BOTH = f"""b as (select * from ({_RUN}) r where run=0), a as (select * from ({_RUN}) r where run=1)"""
+_MISSING = """case when b.scenario is null then 'missing in baseline' when a.scenario is null
+ then 'missing in actual' end"""
+_LABELS = "(['cold_full','incremental','git_delta',''])"
+
+
+def _run_rows(v, run):
+    o = v.table("orders").filter(C("o_orderkey") % 2 == run)
+    return o.groupBy(cat("=c", "o_custkey").alias("scenario"), C("o_custkey").alias("cust")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(C("o_orderstatus") == "P").alias("p"),
+        F.max(C("o_orderkey") % 3).alias("x"), F.max("o_orderkey").alias("k"))
+
+
+def _label(x):
+    return F.element_at(F.array(*[F.lit(s) for s in ("cold_full", "incremental", "git_delta", "")]),
+                        (x % 4 + 1).cast("int"))
+
+
+@query("i16_compare_plan_reports", f"""
+with {_BOTH} select scenario, m as message from (select coalesce(b.scenario,a.scenario) as scenario, unnest([
+ {_MISSING},
+ case when b.n<>a.n then 'io.query_calls: baseline='||b.n||' actual='||a.n end,
+ case when (b.x=0)<>(a.x=0) then 'timings.l1_cache_hit: baseline='||(b.x=0)||' actual='||(a.x=0) end,
+ case when b.p<>a.p then 'setup_steps: baseline=["s'||b.p||'"] actual=["s'||a.p||'"]' end,
+ case when {_LABELS}[b.k%4+1]<>'' and b.k%4<>a.k%4 then 'timings.plan_db_path: baseline='
+  ||{_LABELS}[b.k%4+1]||' actual='||{_LABELS}[a.k%4+1] end,
+ case when b.n<>a.n or b.p<>a.p then 'action_counts: baseline=create='||b.n||',fail='||b.p
+  ||' actual=create='||a.n||',fail='||a.p end]) as m
+ from b full outer join a on a.scenario=b.scenario) t where m is not null""")
+def _(v):
+    def reports(run):
+        r = _run_rows(v, run)
+        return r.select(
+            "scenario", F.array(cat("=s", "p")).alias("setup_steps"), F.struct(C("n").alias("query_calls")).alias("io"),
+            F.struct((C("x") == 0).alias("l1_cache_hit"), _label(C("k")).alias("plan_db_path")).alias("timings"),
+            F.create_map(F.lit("fail"), C("p").cast("int"), F.lit("create"), C("n").cast("int")).alias("action_counts"))
+    return gt.compare_reports(reports(0), reports(1), "plan")
+
+
+@query("i16_compare_gate_reports", f"""
+with {_BOTH} select scenario, m as message from (select coalesce(b.scenario,a.scenario) as scenario, unnest([
+ {_MISSING},
+ case when (b.p=0)<>(a.p=0) then 'gate_pass: baseline='||(b.p=0)||' actual='||(a.p=0) end,
+ case when b.p<>a.p then 'messages: baseline=["m'||b.p||'"] actual=["m'||a.p||'"]' end]) as m
+ from b full outer join a on a.scenario=b.scenario) t where m is not null""")
+def _(v):
+    def reports(run):
+        return _run_rows(v, run).select(
+            "scenario", (C("p") == 0).alias("gate_pass"), F.array(cat("=m", "p")).alias("messages"))
+    return gt.compare_reports(reports(0), reports(1), "gate")
+
+
+@query("i16_compare_blocked_reports", f"""
+with {_BOTH} select scenario, m as message from (select coalesce(b.scenario,a.scenario) as scenario, unnest([
+ {_MISSING},
+ case when b.x<>a.x then 'exit_code: baseline='||b.x||' actual='||a.x end,
+ case when (b.x>0)<>(a.x>0) then 'blocked: baseline='||(b.x>0)||' actual='||(a.x>0) end,
+ case when b.p<>a.p then 'blockers: baseline=["b'||b.p||'"] actual=["b'||a.p||'"]' end,
+ case when b.p<>a.p then 'scaffold_paths: baseline=["001_REV_auto_'||b.p||'.sql"] actual=["001_REV_auto_'||a.p||'.sql"]' end,
+ case when {_LABELS}[b.k%4+1]<>'' and b.k%4<>a.k%4 then 'plan_db_path: baseline='
+  ||{_LABELS}[b.k%4+1]||' actual='||{_LABELS}[a.k%4+1] end]) as m
+ from b full outer join a on a.scenario=b.scenario) t where m is not null""")
+def _(v):
+    def reports(run):
+        # The commit in a scaffold's name differs between the runs and is masked.
+        rev, root = (("abc123", "/w/"), ("def456", ""))[run]
+        return _run_rows(v, run).select(
+            "scenario", C("x").cast("int").alias("exit_code"), (C("x") > 0).alias("blocked"),
+            F.array(cat("=b", "p")).alias("blockers"),
+            F.array(cat(f"={root}db/001_{rev}_auto_", "p", "=.sql")).alias("scaffold_paths"),
+            F.struct(F.lit(0).cast("long").alias("total_ms"), _label(C("k")).alias("plan_db_path")).alias("timings"))
+    return gt.compare_reports(reports(0), reports(1), "blocked")
+
+
+@query("i15_workflow_reports", f"""
+with {_BOTH} select scenario, phase, baseline_ms, actual_ms, case
+ when baseline_ms>0 and actual_ms=0 then phase||': baseline='||baseline_ms||'ms actual=0ms (missing measurement)'
+ when phase='setup_apply_ms' and actual_ms>600 then 'setup_apply_ms: actual='||actual_ms||'ms exceeds hard max 600ms'
+ else {_CEIL.format(f='1')} end as message from (select *, baseline_ms+100 as lim from (
+ select coalesce(b.scenario,a.scenario) as scenario, unnest(['setup_apply_ms','total_ms']) as phase,
+  unnest([coalesce(b.n*90,0),coalesce(b.k%500,0)]) as baseline_ms, unnest([coalesce(a.n*90,0),coalesce(a.k%500,0)]) as actual_ms
+ from b full outer join a on a.scenario=b.scenario) t) u
+where (baseline_ms>0 and actual_ms=0) or (phase='setup_apply_ms' and actual_ms>600) or actual_ms>lim""")
+def _(v):
+    """The same rules read from whole reports."""
+    def reports(run):
+        ms = {"setup_apply_ms": C("n") * 90, "total_ms": C("k") % 500}
+        return _run_rows(v, run).select("scenario", F.struct(
+            *[ms.get(c, F.lit(0)).cast("long").alias(c) for c in WORKFLOW_MS]).alias("timings"))
+    return gt.workflow_regressions(gt.workflow_phases(reports(0)), gt.workflow_phases(reports(1)), 1.0)
+
+
 @query("e12_merge_timings", """
 select command, max(connect_ms) as connect_ms, max(parallel_wall_ms) as parallel_wall_ms,
  cast(sum(ensure_ms) as bigint) as ensure_ms, cast(sum(checksums_ms) as bigint) as checksums_ms,

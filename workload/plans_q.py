@@ -168,10 +168,10 @@ select database_name, cast(sum(applied) as bigint) as applied, cast(sum(skipped)
 def _(v):
     from reconcile.operators.catalog import schema_actions
     log = hs.latest_migrations(v.migration_log)
-    pending = tr.pending_transitions(v.plan, v.authored, log)
     toxic = v.table("labels").filter("toxic = 1").select("doc_id")
     bad = v.manifest.join(toxic, "doc_id", "left_semi")
-    return pr.apply_outcome(v.plan, schema_actions(v.manifest, v.schemas_on_server), pending, bad)
+    return pr.run_outcome(
+        v.plan, schema_actions(v.manifest, v.schemas_on_server), v.authored, log, bad)
 
 
 @query("e14_audit_rows", """
@@ -299,6 +299,17 @@ def _(v):
 
 
 @query("e19_emptiness", """
-select false as empty""")
+select count(*)=0 as empty from history""")
 def _(v):
     return hs.emptiness(v.history)
+
+
+@query("e19_empty_databases", """
+select database_name, count(*) filter (event='failed' and doc_even)=0 as empty from (
+ select m.database_name, h.event, m.doc_id%2=0 as doc_even from manifest m left join history h
+ on h.database_name=m.database_name and h.normalized_key=m.normalized_key) t group by 1""")
+def _(v):
+    """Failed runs on even documents are in one database only; the other one is empty."""
+    even = v.manifest.filter(C("doc_id") % 2 == 0).select(*KEY)
+    failed = v.history.filter("event = 'failed'").join(even, KEY, "left_semi")
+    return hs.empty_databases(v.manifest, failed)
