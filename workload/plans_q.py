@@ -6,7 +6,10 @@ from reconcile.functions import checksums as ck
 from reconcile.operators import (
     drift as dr, history as hs, products as pr, provenance as pv, snapshot as sn, transitions as tr,
 )
+from reconcile.plans import catalog_snapshots as cs
 from reconcile.plans.reconciliation import compute_plan
+from reconcile.session import work_path
+from .catalog_q import _LE
 from .registry import query
 from .views import cat, sha
 
@@ -263,7 +266,6 @@ select kind, event, count(*) as n from (select kind, event from history union al
  select 'object', case planned_action when 'adopt_existing' then 'adopted' else 'applied' end
  from attrs where planned_action not in ('create_object','skip_unchanged')) t group by 1,2""")
 def _(v):
-    from reconcile.session import work_path
     from reconcile.sources import history as sh
     path = work_path(v.spark, "history")
     fresh = sha(cat("kind", "=:", "normalized_key"))
@@ -298,6 +300,29 @@ def _(v):
     return sn.snapshot_valid(meta, v.manifest, "d1")
 
 
+# Digest of the object paths of the covered manifest, from its three levels.
+_COVERED = "(select * from manifest where doc_id%2=1 or doc_id%10<>0)"
+_DIGEST = f"""(select sha256(string_agg(d, chr(10) order by bucket)) from (
+ select bucket, sha256(string_agg(d, chr(10) order by leaf)) as d from (
+ select ('0x'||substr(sha256(path),1,12))::bigint%4096 as bucket,
+  ('0x'||substr(sha256(path),1,12))::bigint//4096%4096 as leaf,
+  sha256(unhex(string_agg({_LE}||hex(encode(path)), '' order by encode(path)))) as d
+ from (select distinct object_path as path from {_COVERED} c) p group by 1,2) l group by 1) b)"""
+
+
+@query("i19_publish_and_reuse", f"""
+select c.database_name, c.normalized_key, c.schema_name, c.kind, c.object_name,
+ coalesce(c.parent_name,'') as parent_name, {_DIGEST} as layout_digest
+from catalog c where c.database_name='db0'""")
+def _(v):
+    """Two publishers: one whose catalog covers db0 alone, one whose catalog covers none."""
+    path = work_path(v.spark, "snapshots")
+    manifest = v.manifest.filter((C("doc_id") % 2 == 1) | (C("doc_id") % 10 != 0))
+    cs.publish(v.catalog.filter(C("doc_id") % 14 != 7), manifest, path)
+    cs.publish(v.catalog.filter("kind <> 'views'"), manifest, path)
+    return cs.reuse(v.spark, path, manifest)
+
+
 @query("e19_emptiness", """
 select count(*)=0 as empty from history""")
 def _(v):
