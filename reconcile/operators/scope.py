@@ -9,6 +9,32 @@ from reconcile.functions import checksums as ck, kinds, paths
 from reconcile.functions.text import strip
 
 
+#: Bits that say which strings are wanted: 128 KB however many there are.
+WANTED_BITS = 1 << 20
+
+
+def _place(text: F.Column) -> tuple[F.Column, F.Column]:
+    """Number of the word and the bit in it that stand for a string."""
+    h = F.xxhash64(text)
+    word = F.pmod(F.shiftright(h, 6), F.lit(WANTED_BITS // 64)).cast("int")
+    return word, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def _wanted_bits(wanted: DataFrame, col: str) -> F.Column:
+    """The hashes of ``col`` as a bit set, an array of ``WANTED_BITS`` / 64 numbers."""
+    word, bit = _place(F.col(col))
+    found = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    every = wanted.sparkSession.range(WANTED_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    dense = every.join(found, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["bits"])).scalar()
+
+
+def _maybe(bits: F.Column, text: F.Column) -> F.Column:
+    """False only where ``text`` is surely not among the wanted strings."""
+    word, bit = _place(text)
+    return F.get(bits, word).bitwiseAND(bit) != 0
+
+
 def _suffixes(col: str) -> F.Column:
     n = F.length(col)
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(col), i, n))
@@ -22,7 +48,10 @@ def keys_for_changed_paths(
     Exact object path first, then exact change-script path; a path matching
     neither falls back to a character-wise suffix match in either direction.
     Both directions are equi joins on spelled-out suffixes: changed paths are
-    expanded fully, and the inventory only by suffix lengths that occur.
+    expanded fully, and the inventory only by suffix lengths that occur.  Where the
+    inventory lies, every piece is first looked up in a bit set of the wanted
+    hashes, so only pieces that may match are shuffled and compared.  Whole paths
+    are shuffled once, for the exact match, and the first direction reuses that.
     """
     objects = manifest.select(F.col("object_path").alias("path"), "normalized_key")
     scripts = transitions.select("path", "normalized_key")
@@ -52,6 +81,7 @@ def keys_for_changed_paths(
         .select("path", "normalized_key", F.explode("ns").alias("k"))
         .filter(F.col("k") <= F.length("path"))
         .select("path", "normalized_key", cut.alias("tail"))
+        .filter(_maybe(_wanted_bits(loose, "path"), F.col("tail")))
     )
     shorter = pieces.join(
         loose.withColumnRenamed("path", "tail"), "tail", "left_semi"

@@ -107,3 +107,17 @@ def test_empty_databases(spark, rows):
     assert rows(hs.empty_databases(databases, some)) == [("a", True), ("b", False)]
     assert rows(hs.empty_databases(databases, some.limit(0))) == [("a", True), ("b", True)]
     assert rows(hs.empty_databases(databases.limit(0), some)) == []
+
+
+def test_wanted_bits_let_every_wanted_string_through(spark):
+    from reconcile.operators import scope as sp
+
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.choices("ab/é.", k=rng.randrange(1, 9))) for _ in range(400)})
+    wanted = set(rng.sample(texts, 60)) | {""}
+    df = spark.createDataFrame([(t,) for t in texts + [""]], "path string")
+    bits = sp._wanted_bits(spark.createDataFrame([(t,) for t in wanted], "path string"), "path")
+    kept = {r.path for r in df.filter(sp._maybe(bits, F.col("path"))).collect()}
+    assert wanted <= kept and len(kept) < len(wanted) + 5
+    none = sp._wanted_bits(df.limit(0), "path")
+    assert df.filter(sp._maybe(none, F.col("path"))).collect() == []
