@@ -8,8 +8,17 @@ from reconcile.llm import best_fit, hamming_join, mixing, stream_dedup, string_k
 from reconcile.session import work_path
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of a few megabytes, unless the cluster
+    says otherwise; a worker then holds little besides its model."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, "4m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (no text, no letters) go."""
+    _bounded(spark)
     return string_kernel.drop_unidentified(docs)
 
 
@@ -20,6 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, 0.8)."""
+    _bounded(spark)
     return hamming_join.drop_near(docs)
 
 
@@ -30,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences."""
+    _bounded(spark)
     return best_fit.pack_documents(docs)
 
 

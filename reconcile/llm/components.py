@@ -21,6 +21,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in ``links`` (a, b); component is the smallest node.
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import components, written
+from .components import components, free, written
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 8, 4, 1, 16
 SLOTS = CHUNKS * SYMBOLS
@@ -261,12 +261,14 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         members = open_.drop("component").join(few.select("key", "node"), ["key", "node"], "left_anti")
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, row.
 
     Documents are linked when their shingle sets of ``words`` words reach a
     Jaccard likeness of ``percent`` / 100; a component is named by its smallest doc_id.
+    ``row`` names a column of written row numbers; without it rows are numbered here.
     """
+    docs = docs.select("doc_id", "text", *([F.col(row).alias(ROW)] if row else []))
     rows = written(features(docs, words), "features")
     nodes = written(
         rows.where("node is not null").groupBy("node")
@@ -297,9 +299,10 @@ def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     The rows are written once with a row number, by which they are dropped.
     """
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    gone = near_groups(rows, words, percent).where("not kept").select(F.col("row").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    row = free(docs, ROW)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = near_groups(rows, words, percent, row).where("not kept").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,9 +141,12 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     The last document of a leaf's prefix comes whole. Rows that repeat doc_id and
     text come together.
     """
-    chosen = select(docs, **how).select(F.col("key").alias("__key"), F.col("epoch").alias("__epoch")).distinct()
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(chosen, F.col("__row") == F.col("__key")).select(*docs.columns)
+    from .components import free
+
+    row, key = free(docs, "__row"), free(docs, "__key")
+    chosen = select(docs, **how).select(F.col("key").alias(key), F.col("epoch").alias(free(docs, "__epoch"))).distinct()
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(chosen, F.col(row) == F.col(key)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

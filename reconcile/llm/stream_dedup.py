@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from reconcile.session import work_path
 
+from .components import free
+
 #: State on disk; without preallocation, which costs 4 MB for each small store.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -178,16 +180,14 @@ def drop_exact(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both doc_id and text leave one row.
     """
-    kept = exact_groups(docs).where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("digest").alias("__digest")
-    )
-    keyed = docs.withColumns(
-        {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest": sha256(normalised(F.col("text")))}
-    )
+    name, digest = free(docs, "__id"), free(docs, "__digest")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = exact_groups(docs).where("kept").select(own.alias(name), F.col("digest").alias(digest))
+    keyed = docs.withColumns({name: own, digest: sha256(normalised(F.col("text")))})
     return (
-        keyed.join(kept, ["__id", "__digest"], "left_semi")
-        .dropDuplicates(["__id", "__digest"])
-        .drop("__id", "__digest")
+        keyed.join(kept, [name, digest], "left_semi")
+        .dropDuplicates([name, digest])
+        .drop(name, digest)
     )
 
 

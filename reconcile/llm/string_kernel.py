@@ -6,14 +6,16 @@ landmark texts per language span the Nyström approximation, and one-versus-rest
 kernel ridge regression on it gives one column of weights per language. Scoring
 is two matrix products per batch of texts.
 
-Training reads a bounded sample: the ``PER_LANGUAGE`` labelled rows of each
-language with the smallest hash, never more than that, so the driver holds a few
-megabytes of packed presence bits (``SLOTS`` / 8 bytes a row). Prediction covers
-every row and whole texts, without a shuffle.
+Training reads a bounded sample: of each language the ``PER_LANGUAGE`` labelled ids
+with the smallest hash, one text each, for at most ``LANGUAGES`` languages, those with the
+most labelled rows. The driver so holds at most ``PER_LANGUAGE * LANGUAGES`` rows of
+packed presence bits (``SLOTS`` / 8 bytes each), a few megabytes for a handful of
+languages. Prediction covers every row and whole texts, without a shuffle.
 
 Defined cases: null text and text without letters give ``und`` with score 0, as
 does every text when nothing was learned; rows without doc_id aren't learned
-from and aren't held out. An empty table gives no rows; lang, source and doc_id
+from and aren't held out. Where rows repeat an id and a language, the smallest
+text stands for them in the sample. An empty table gives no rows; lang, source and doc_id
 are never inputs of a prediction.
 """
 
@@ -24,8 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .components import free
+
 LONGEST, SLOTS = 3, 1 << 14
 PER_LANGUAGE, LANDMARKS = 400, 32
+#: Languages learned at most; labels beyond the most frequent ones aren't learned.
+LANGUAGES = 200
 RIDGE, SHARPNESS, BATCH = 0.01, 5.0, 128
 UNKNOWN = "und"
 
@@ -106,12 +112,17 @@ class Model:
         return out, score
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Fit on the labelled rows (lang not null) that aren't held out."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = base.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    ids = usable.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    most = ids.groupBy("lang").agg(F.sum("rows").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
+    chosen = ids.where(F.col("lang").isin([r["lang"] for r in most])).withColumn("place", F.row_number().over(order))
+    chosen = chosen.where(F.col("place") <= per_language).select("doc_id", "lang")
+    # one text for each chosen id, found where the texts lie, so a repeated id ships one
+    texts = usable.join(chosen, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def bits(batches):
         for b in batches:
@@ -122,8 +133,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                     rows.append((lang, np.packbits(row).tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "bits"])
 
-    # bounded: per_language rows for each language
-    rows = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect()
+    # bounded: per_language rows for each of the languages
+    rows = texts.select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect()
     rows = sorted((r["lang"], bytes(r["bits"])) for r in rows)
     packed = np.array([np.frombuffer(b, np.uint8) for _, b in rows], np.uint8).reshape(len(rows), SLOTS // 8)
     return Model.fit(packed, [lang for lang, _ in rows])
@@ -159,8 +170,9 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
         return pd.Series([lang if score > 0 else None for lang, score in zip(*model.predict(list(text)))], dtype=object)
 
     # as if it were not deterministic, so that the filter and the column share one call
-    found = docs.withColumn("__lang", language.asNondeterministic()(F.col("text").cast("string"))).where("__lang is not null")
-    lang = F.coalesce("lang", F.nullif("__lang", F.lit("")).cast(docs.schema["lang"].dataType))
+    name = free(docs, "__lang")
+    found = docs.withColumn(name, language.asNondeterministic()(F.col("text").cast("string"))).where(F.col(name).isNotNull())
+    lang = F.coalesce("lang", F.nullif(F.col(name), F.lit("")).cast(docs.schema["lang"].dataType))
     return found.withColumn("lang", lang).select(*docs.columns)
 
 

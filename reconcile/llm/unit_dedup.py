@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import free, written
 
 LEAST_WORDS, LEAST_CHARS = 8, 40
 #: Row number of tables that are read more than once; made by the place in the table where it is missing.
@@ -132,12 +132,14 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -
     return base.mapInPandas(run, "doc_id long, row long, start int, end int, n_words int, high long, low long")
 
 
-def repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, row: str | None = None) -> DataFrame:
     """One row per removed unit.
 
     doc_id, start, end and n_words of the removed occurrence, kept_doc_id and
-    kept_start of the one that stays, copies (occurrences in all), row.
+    kept_start of the one that stays, copies (occurrences in all), row. ``row`` names
+    a column of written row numbers; without it rows are numbered here.
     """
+    docs = docs.select("doc_id", "text", *([F.col(row).alias(ROW)] if row else []))
     table = written(unit_table(docs, least, short), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     groups = (
@@ -161,9 +163,10 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = Fal
 
     The rows are written once with a row number, by which spans come back to them.
     """
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    spans = repeats(rows, least, short).select(F.col("row").alias(ROW), "start", "end")
-    removed = spans.groupBy(ROW).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    number = free(docs, ROW)
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    spans = repeats(rows, least, short, number).select(F.col("row").alias(number), "start", "end")
+    removed = spans.groupBy(number).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -176,7 +179,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = Fal
             out.append(t if t is None else "".join(kept) + t[at:])
         return pd.Series(out)
 
-    joined = rows.join(removed, ROW, "left")
+    joined = rows.join(removed, number, "left")
     cut_text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed"))
     return joined.withColumn("text", cut_text).select(*docs.columns, "removed")
 
