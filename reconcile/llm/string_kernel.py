@@ -121,8 +121,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.where(F.col("lang").isin([r["lang"] for r in most])).withColumn("place", F.row_number().over(order))
     chosen = chosen.where(F.col("place") <= per_language).select("doc_id", "lang")
-    # one text for each chosen id, found where the texts lie, so a repeated id ships one
-    texts = usable.join(chosen, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    # One text for each chosen id. The chosen ids are at most per_language * languages
+    # pairs, so they go to the texts, which stay where they lie.
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def bits(batches):
         for b in batches:
