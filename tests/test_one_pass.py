@@ -121,3 +121,18 @@ def test_wanted_bits_let_every_wanted_string_through(spark):
     assert wanted <= kept and len(kept) < len(wanted) + 5
     none = sp._wanted_bits(df.limit(0), "path")
     assert df.filter(sp._maybe(none, F.col("path"))).collect() == []
+
+
+def test_names_of_proposal_files(spark, rows):
+    from reconcile.functions import paths
+    from reconcile.operators import evolution as ev
+
+    texts = spark.createDataFrame([("d", "s/tables/t", "x"), ("d", "s/tables/u", "y")], f"{K}, content string")
+    there = spark.createDataFrame([("d/s/tables/_migrations/u/001_abcdef0_auto_add_columns.sql",)], "path string")
+    got = ev.proposal_files(texts, "abcdef0", there)
+    assert rows(got, "path", "content") == [("d/s/tables/_migrations/t/001_abcdef0_auto_add_columns.sql", "x")]
+    # the names read back as change scripts of their table
+    t = got.select(paths.parse_transition(F.col("path")).alias("t")).first().t
+    assert (t.normalized_key, t.ordinal, t.commit, t.slug) == ("s/tables/t", "001", "abcdef0", "auto_add_columns")
+    assert ev.proposal_files(texts, "../x").collect() == []
+    assert rows(ev.template_files(texts, "../x"), "path")[0] == ("d/s/tables/_migrations/t/001_0000000_describe_change.sql",)

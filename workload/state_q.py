@@ -213,6 +213,29 @@ def _(v):
     return ev.proposal_text(ev.proposed_changes(diff, ev.additive_changes(diff)))
 
 
+_FILE = "database_name||'/dbo/tables/_migrations/'||substr(normalized_key,12)||'/001_{commit}_{slug}.sql'"
+
+
+@query("j3_proposal_files", f"""
+select distinct {K}, {_FILE.format(commit='abc1234', slug='auto_add_columns')} as path from ({_LINES}) t
+where cast(substr(normalized_key,13) as bigint)%4<>0""")
+def _(v):
+    """Every fourth table has such a file already."""
+    diff = _diff(v)
+    texts = ev.proposal_text(ev.proposed_changes(diff, ev.additive_changes(diff)))
+    there = v.table_scripts.filter(C("p_partkey") % 4 == 0).select(
+        cat("database_name", "=/dbo/tables/_migrations/p", "p_partkey", "=/001_abc1234_auto_add_columns.sql").alias("path"))
+    return ev.proposal_files(texts, "abc1234", there).drop("content")
+
+
+@query("j4_template_files", f"""
+select distinct {K}, {_FILE.format(commit='0000000', slug='describe_change')} as path from live_columns""")
+def _(v):
+    """A commit with a slash is no token, so zeros stand in for it."""
+    columns = ct.column_lists(v.live_columns)
+    return ev.template_files(ev.change_templates(v.table_scripts, columns), "a/b").drop("content")
+
+
 @query("j4_change_templates", f"""
 select f.database_name, f.normalized_key, '{MARK}'||chr(10)||'-- Table: [dbo].['||t||']'||chr(10)
  ||'-- Replace this scaffold with the actual migration SQL.'||chr(10)||'-- Schema: dbo'||chr(10)
