@@ -102,8 +102,9 @@ def with_next(docs: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -
     width = max(1, ((high or 0) - low + 1) * range_rows // max(n, 1))
     columns = docs.columns
     w = Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    # exact integer division; doubles would round large ids
-    place = F.expr(f"(doc_id - {low}L) div {width}L")
+    # Exact integer division: doubles would round large ids, and ids that span bigint
+    # differ by more than a bigint holds, so the difference is a decimal.
+    place = F.expr(f"cast((cast(doc_id as decimal(38, 0)) - {low}BD) div {width}BD as bigint)")
     ranged = docs.withColumn("__range", F.coalesce(place, F.lit(-1).cast("long")))
     here = F.lit(True)
     following = ranged.select("*", F.lead(here).over(w).alias("__more"), *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])

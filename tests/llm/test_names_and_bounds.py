@@ -53,3 +53,15 @@ def test_repeated_ids_and_dirty_labels_stay_within_the_sample(spark, monkeypatch
     # the same sample whatever the order of the rows
     again = string_kernel.train(docs.repartition(7), per_language=50, languages=20)
     assert again.languages == model.languages and (again.weights == model.weights).all()
+
+
+def test_next_document_of_ids_that_span_bigint(spark):
+    from reconcile.llm import syncmers
+
+    ids = [-(2**63), -5, 0, 1, 2, 3, 4, 5, 6, 7, 2**60, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in syncmers.with_next(docs, ["doc_id", "text"], range_rows=2).collect()}
+    assert got == {i: f"t{n}" for i, n in zip(ids, ids[1:] + ids[:1])}
+    two = docs.where(F.col("doc_id").isin(-(2**63), 2**63 - 1))
+    got = {r.doc_id: r.next_text for r in syncmers.with_next(two, ["doc_id", "text"]).collect()}
+    assert got == {-(2**63): f"t{2**63 - 1}", 2**63 - 1: f"t{-(2**63)}"}
