@@ -57,32 +57,73 @@ def slo_exempt(path: str = "plan_db_path", hit: str = "l1_cache_hit"):
     )
 
 
-def latency_summary(runs: DataFrame, by: list[str], qs=(0.5, 0.95)) -> DataFrame:
+#: Milliseconds a bucket of the first pass spans.
+BUCKET_MS = 65_536
+
+
+def latency_summary(
+    runs: DataFrame, by: list[str], qs=(0.5, 0.95), bucket_ms: int = BUCKET_MS
+) -> DataFrame:
     """Nearest-rank percentiles of whole-millisecond ``wall_ms`` per group.
 
-    The value at index ``min(n - 1, int(q * n))`` of the sorted walls.  Runs are
-    first counted per distinct millisecond, which folds ties map-side; the
-    ordered pass then sees one row per distinct value of a group.
+    The value at index ``min(n - 1, int(q * n))`` of the sorted walls; runs
+    without a wall count to ``n`` and rank first.  Ranks are searched in two
+    passes: over a group's buckets of ``bucket_ms``, then over the distinct
+    milliseconds of the one bucket a rank lies in.  Runs are counted per
+    millisecond first, which folds ties map-side, so the ordered passes see at
+    most ``bucket_ms`` rows of a group each for walls up to ``bucket_ms ** 2``
+    (49 days), however many runs and distinct values it has.
     """
-    counted = runs.groupBy(*by, "wall_ms").agg(
-        F.count(F.lit(1)).alias("c"), F.count_if(F.col("failed")).alias("f")
+    counted = runs.withColumn(
+        "_bucket", F.floor(F.col("wall_ms") / F.lit(bucket_ms))
+    ).groupBy(*by, "_bucket", "wall_ms").agg(
+        F.count("wall_ms").alias("c"), F.count(F.lit(1)).alias("r"),
+        F.count_if(F.col("failed")).alias("f"),
     )
-    w = Window.partitionBy(*by)
-    upto = w.orderBy("wall_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("cum", F.sum("c").over(upto)).withColumn(
-        "n", F.sum("c").over(w)
+    buckets = counted.groupBy(*by, "_bucket").agg(
+        F.sum("c").alias("c"), F.sum("r").alias("r"), F.sum("f").alias("f"),
+        F.max("wall_ms").alias("max"),
     )
+    w = Window.partitionBy(*by)
+    ranked = buckets.withColumns({
+        "_before": F.sum("c").over(w.orderBy("_bucket").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)) - F.col("c"),
+        "_n": F.sum("r").over(w),
+        "_unknown": F.sum("r").over(w) - F.sum("c").over(w),
+    })
 
-    def at(q: float):
-        index = F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-        return F.min(F.when(F.col("cum") > index, F.col("wall_ms"))).alias(
-            f"p{int(q * 100)}"
-        )
+    def rank(q: float):
+        index = F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+        return F.greatest(index - F.col("_unknown"), F.lit(0)) - F.col("_before")
 
-    return ranked.groupBy(*by).agg(
-        F.sum("c").alias("n"),
-        *[at(q) for q in qs],
-        F.max("wall_ms").alias("max"),
+    wanted = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("q"), rank(q).alias("rank")) for i, q in enumerate(qs)]),
+        lambda x: (x["rank"] >= 0) & (x["rank"] < F.col("c")),
+    )
+    # One row per group and percentile, for the bucket its rank lies in.
+    picks = ranked.filter("c > 0").select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
+        F.col("_bucket").alias("_b"), F.inline(wanted),
+    )
+    on = F.col("_bucket") == F.col("_b")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy(*by, "q").orderBy("wall_ms").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    found = counted.join(picks, on).withColumn("_upto", F.sum("c").over(inside)).filter(
+        (F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("c"))
+    )
+    names = [f"p{int(q * 100)}" for q in qs]
+    totals = buckets.select(*by, "r", "max", "f", F.lit(None).cast("int").alias("q"),
+                            F.lit(None).cast("long").alias("wall_ms"))
+    values = found.select(*by, F.lit(0).cast("long").alias("r"), F.lit(None).alias("max"),
+                          F.lit(0).cast("long").alias("f"), "q", "wall_ms")
+    return totals.unionByName(values).groupBy(*by).agg(
+        F.sum("r").alias("n"),
+        *[F.max(F.when(F.col("q") == i, F.col("wall_ms"))).alias(name)
+          for i, name in enumerate(names)],
+        F.max("max").alias("max"),
         F.sum("f").alias("failures"),
     )
 
@@ -249,34 +290,41 @@ def frame_totals(
     own = F.lit(False)
     for m in own_markers:
         own = own | F.contains(F.col("frame"), F.lit(m))
-    size = F.sum("bytes").alias("bytes")
-    entries = points.select(
-        "point_id", "bytes", F.posexplode("frames").alias("pos", "frame_id")
+    entry = F.contains(F.col("frame"), F.lit(entry_marker)) if entry_marker else F.lit(False)
+    flags = frames.select("frame_id", own.alias("own"), entry.alias("entry"))
+    # One pass over the stacks: an entry counts where it is own or last, and the
+    # last own entry of a stack is found on the rows that are left.
+    entries = (
+        points.select("point_id", "bytes", (F.size("frames") - 1).alias("end"),
+                      F.posexplode("frames").alias("pos", "frame_id"))
+        .join(flags, "frame_id", "left")
+        .withColumns({"own": F.coalesce("own", F.lit(False)), "leaf": F.col("pos") == F.col("end")})
+        .filter(F.col("own") | F.col("leaf"))
     )
+    last_own = F.max(F.when(F.col("own"), F.col("pos"))).over(Window.partitionBy("point_id"))
+    flagged = entries.withColumn("deepest", F.col("own") & (F.col("pos") == last_own))
+
+    def size(cond):
+        return F.sum(F.when(cond, F.col("bytes")))
+
     # Bytes are summed per frame index first, so a frame in every stack is
     # folded map-side and texts are joined onto totals only.
-    inclusive = _named(entries.groupBy("frame_id").agg(size), frames).filter(own)
-    if entry_marker:
-        inclusive = inclusive.filter(~F.contains(F.col("frame"), F.lit(entry_marker)))
-    last = F.element_at("frames", -1).alias("frame_id")
-    leaf = points.filter(F.size("frames") > 0).groupBy(last).agg(size)
-    owned = entries.join(frames.filter(own).select("frame_id"), "frame_id", "left_semi")
-    deepest = (
-        owned.groupBy("point_id")
-        .agg(F.max_by("frame_id", "pos").alias("frame_id"), F.first("bytes").alias("bytes"))
-        .groupBy("frame_id")
-        .agg(size)
+    per_frame = flagged.groupBy("frame_id").agg(
+        size(F.col("own") & ~F.col("entry")).alias("inclusive"),
+        size(F.col("deepest")).alias("deepest"),
+        size(F.col("leaf")).alias("leaf"),
+    )
+    views = F.array(*[
+        F.struct(F.lit(name).alias("view"), F.col(name).alias("bytes"))
+        for name in ("inclusive", "deepest", "leaf")
+    ])
+    return (
+        _named(per_frame, frames)
+        .select(short_frame(F.col("frame")).alias("frame"), F.inline(views))
+        .filter(F.col("bytes").isNotNull())
+        .groupBy("view", "frame")
+        .agg(F.sum("bytes").alias("bytes"))
     )
-    views = {
-        "inclusive": inclusive,
-        "deepest": _named(deepest, frames),
-        "leaf": _named(leaf, frames),
-    }
-    out = None
-    for name, df in views.items():
-        part = df.select(F.lit(name).alias("view"), "frame", "bytes")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("view", short_frame(F.col("frame")).alias("frame")).agg(size)
 
 
 def top_frames(totals: DataFrame, k: int = 15) -> DataFrame:
