@@ -152,7 +152,9 @@ def with_next(
         if hot:
             is_hot = is_hot | F.array_contains(F.lit(hot).cast("array<bigint>"), F.col("doc_id"))
         within = F.when(is_hot, prefix).otherwise(within)
-    ranged = docs.withColumn("__range", place * PREFIXES + within).repartition("__range").sortWithinPartitions(
+    # never null, so that the join below filters nothing and both uses share their exchange
+    dealt = docs.withColumn("__range", F.coalesce(place * PREFIXES + within, F.lit(0).cast("long")))
+    ranged = dealt.repartition("__range").sortWithinPartitions(
         "__range", *[F.col(c).asc_nulls_first() for c in order]
     )
     w = Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
@@ -162,7 +164,7 @@ def with_next(
     following = full.select("*", F.lead(here).over(w).alias("__more"), *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     first = add(ranged.withColumn("__before", F.lag(here).over(w)).where(F.col("__before").isNull()))
     # successor of each range, first inside blocks of ranges, then across blocks
-    ids = ranged.select("__range").distinct().withColumn("__block", F.expr(f"__range div {PREFIXES * RANGES_TOGETHER}L"))
+    ids = dealt.select("__range").distinct().withColumn("__block", F.expr(f"__range div {PREFIXES * RANGES_TOGETHER}L"))
     inside = ids.withColumn("__to", F.lead("__range").over(Window.partitionBy("__block").orderBy("__range")))
     blocks = ids.groupBy("__block").agg(F.min("__range").alias("__start"))
     # at most MOST_RANGES / RANGES_TOGETHER rows, twice that with the ends of hot ids
