@@ -48,7 +48,7 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
-#: Licence families by the start of an identifier.
+#: Licence families by the start of an identifier; a sign, a digit or a version (``v2``) follows it.
 FAMILIES = {
     "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "isc": "isc",
     "mpl": "mpl", "epl": "epl", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "unlicense": "public-domain",
@@ -61,6 +61,7 @@ _WORD_BYTES = bytes(
 )
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
+_AFTER = re.compile(r"v?[0-9]|[^A-Za-z]|$")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: An expression ends with its line.
 _LINE = re.compile(r"[^\r\n]*")
@@ -93,7 +94,10 @@ def postfix(expression: str) -> list[str]:
 
 
 def family(identifier: str) -> str | None:
-    return next((label for start, label in FAMILIES.items() if identifier.startswith(start)), None)
+    for start, label in FAMILIES.items():
+        if identifier.startswith(start) and _AFTER.match(identifier, len(start)):
+            return label
+    return None
 
 
 def evaluate(expression: str, allowed: frozenset[str] = ALLOWED) -> tuple[set[str], bool | None]:
@@ -162,7 +166,7 @@ class Scanner:
                 allowed = ok if allowed is None else allowed and ok
         n_base = len(starts)
         labels = base | more
-        # evidence: places found against one half of doubt, weighed down by a long text
+        # evidence: places found against one half of doubt
         score = 0.0 if not labels else (n_base + len(more) + len(expressions)) / (n_base + len(more) + len(expressions) + 0.5)
         return (
             n_words, n_base, min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),

@@ -392,6 +392,8 @@ def test_licence_expressions():
     assert licences.evaluate("Apache-2.0 WITH LLVM-exception") == ({"apache"}, True)
     assert licences.evaluate("(MIT") == ({"mit"}, True)
     assert licences.evaluate("") == (set(), None)
+    assert licences.evaluate("mitigation plan") == licences.evaluate("iscsi OR bsdiff") == (set(), None)
+    assert licences.evaluate("mit-0 AND gpl2 AND lgplv2.1+") == ({"mit", "gpl", "lgpl"}, False)
 
 
 def test_licence_scan(spark, odd):
