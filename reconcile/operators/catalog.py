@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from reconcile import KEY
 from reconcile.functions import paths, text
 from reconcile.functions.checksums import present
+from reconcile.operators.skew import spread_join
 
 SCOPE = ["database_name", "schema_name", "kind", "object_name"]
 
@@ -35,8 +36,11 @@ def scoped_catalog(catalog: DataFrame, scope: DataFrame) -> DataFrame:
     return objects.unionByName(schemas)
 
 
-def catalog_parents(objects: DataFrame) -> DataFrame:
-    """``parent_name`` from ``parent_object_id`` within one database; blank when none."""
+def catalog_parents(objects: DataFrame, spread: bool = False) -> DataFrame:
+    """``parent_name`` from ``parent_object_id`` within one database; blank when none.
+
+    ``spread`` cuts the children of parents that hold very many of them.
+    """
     parents = objects.select(
         "database_name",
         F.col("object_id").alias("parent_object_id"),
@@ -44,7 +48,8 @@ def catalog_parents(objects: DataFrame) -> DataFrame:
     )
     # Most objects have no parent; they take no part in the join.
     children = objects.filter(F.col("parent_object_id").isNotNull())
-    found = children.join(parents, ["database_name", "parent_object_id"], "left")
+    join = spread_join if spread else DataFrame.join
+    found = join(children, parents, ["database_name", "parent_object_id"], "left")
     roots = objects.filter(F.col("parent_object_id").isNull()).withColumn(
         "parent_name", F.lit(None).cast("string")
     )
@@ -118,12 +123,12 @@ def with_prior(rows: DataFrame, latest: DataFrame) -> DataFrame:
     return rows.join(latest.select(*KEY, prior), KEY, "left")
 
 
-def parent_facts(asks: DataFrame, tables: DataFrame) -> DataFrame:
+def parent_facts(asks: DataFrame, tables: DataFrame, spread: bool = False) -> DataFrame:
     """Facts about the parent of every child in ``asks`` (keys, ``parent_name``).
 
     The parent is a managed table in the child's own schema.  ``tables`` are
     manifest rows with ``exists`` and ``prior``.  Children without a managed
-    parent get no row.
+    parent get no row.  ``spread`` cuts the children of parents that hold very many.
     """
     parent = tables.filter(F.col("kind") == "tables").select(
         "database_name",
@@ -135,21 +140,20 @@ def parent_facts(asks: DataFrame, tables: DataFrame) -> DataFrame:
     )
     schema = paths.split_key(F.col("normalized_key"))["schema_name"]
     want = paths.normalized_key(schema, F.lit("tables"), F.col("parent_name"))
-    return (
-        asks.filter(F.coalesce("parent_name", F.lit("")) != "")
-        .select(*KEY, want.alias("_want"))
-        .join(parent, ["database_name", "_want"], "inner")
-        .drop("_want")
+    named = asks.filter(F.coalesce("parent_name", F.lit("")) != "").select(
+        *KEY, want.alias("_want")
     )
+    join = spread_join if spread else DataFrame.join
+    return join(named, parent, ["database_name", "_want"], "inner").drop("_want")
 
 
-def with_parent(rows: DataFrame, tables: DataFrame) -> DataFrame:
+def with_parent(rows: DataFrame, tables: DataFrame, spread: bool = False) -> DataFrame:
     """``rows`` with facts about their parent table.
 
     Rows without a parent name take no part in the parent lookup.
     ``parent_name`` is kept: named but unmatched is not unnamed.
     """
-    found = parent_facts(rows.select(*KEY, "parent_name"), tables)
+    found = parent_facts(rows.select(*KEY, "parent_name"), tables, spread)
     return rows.join(found, KEY, "left").withColumn(
         "parent_managed", F.coalesce("parent_managed", F.lit(False))
     )

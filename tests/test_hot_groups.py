@@ -59,3 +59,34 @@ def test_frame_totals_read_the_stacks_once(spark):
     }
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode") == 1 and plan.count("Window [max") == 1
+
+
+def test_one_parent_with_a_third_of_all_children(spark):
+    from pyspark.sql import functions as F
+
+    from reconcile.operators import catalog as ct
+    from reconcile.operators.skew import spread_join
+
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3000 == 1, None).otherwise(F.col("id") % 5000)
+    left = spark.range(30_000).select("id", key.alias("k"))
+    right = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    right = right.unionByName(right.filter("k < 3").withColumn("x", F.lit(-1).cast("long")))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        for how in ("inner", "left"):
+            assert sorted(map(tuple, spread_join(left, right, ["k"], how).collect()), key=repr) == sorted(
+                map(tuple, left.join(right, "k", how).collect()), key=repr)
+        tasks = spread_join(left, right, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+        sizes = sorted(r["count"] for r in tasks)
+        assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+        objects = spark.range(3000).select(
+            F.lit("d").alias("database_name"), F.col("id").alias("object_id"), F.format_string("O%d", "id").alias("object_name"),
+            F.when(F.col("id") > 0, F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") - 1)).alias("parent_object_id"))
+        plain, cut = ([tuple(r) for r in ct.catalog_parents(objects, spread=s).orderBy("object_id").collect()] for s in (False, True))
+        assert sorted(plain, key=repr) == sorted(cut, key=repr) and len(cut) == 3000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -143,6 +143,20 @@ def _(v):
     return ct.catalog_parents(objs).select("object_id", "database_name", "parent_name")
 
 
+@query("d2_hot_parent", """
+select m.doc_id as object_id, m.database_name, coalesce(p.object_name,'') as parent_name
+from manifest m left join (select database_name, min(doc_id) as first_id
+ from manifest group by database_name) f on f.database_name=m.database_name and m.kind='triggers'
+left join manifest p on p.doc_id=f.first_id and p.database_name=m.database_name""")
+def _(v):
+    # Every trigger of a database hangs on its first object.
+    first = v.manifest.groupBy("database_name").agg(F.min("doc_id").alias("first_id"))
+    objs = v.manifest.join(first, "database_name").select(
+        "database_name", C("doc_id").alias("object_id"), "object_name",
+        F.when(C("kind") == "triggers", C("first_id")).alias("parent_object_id"))
+    return ct.catalog_parents(objs, spread=True).select("object_id", "database_name", "parent_name")
+
+
 @query("d3_with_exists", f"select {K}, ex as \"exists\", parent_name from base")
 def _(v):
     return ct.with_exists(v.manifest, ct.catalog_facts(v.catalog)).select(
@@ -163,6 +177,15 @@ def _(v):
         *KEY, "parent_name", "parent_managed", "parent_exists", "parent_prior", "parent_label")
 
 
+@query("d5_with_parent_spread", f"""
+select {K}, parent_name, parent_managed, parent_exists, parent_prior, parent_label from plan""")
+def _(v):
+    known = ct.with_prior(ct.with_exists(v.manifest, ct.catalog_facts(v.catalog)),
+                          hs.latest_object_history(v.history))
+    return ct.with_parent(known, known, spread=True).select(
+        *KEY, "parent_name", "parent_managed", "parent_exists", "parent_prior", "parent_label")
+
+
 @query("d7_hydrate_parents", f"""
 select {K}, kind, case when kind='indexes' then case when doc_id%4<>0 then 'o'||(doc_id-2) end
  else parent_name end as parent_name from catalog""")
