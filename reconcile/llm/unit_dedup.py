@@ -15,10 +15,12 @@ pre-aggregates per task, so a line in a third of all documents arrives as one ro
 a task, and the join back to its occurrences is an equi join the adaptive
 planner splits. Texts are not shuffled.
 
-Defined cases: null and empty texts have no units. With ``short``, as in the
-query, units of any length count. Without it only those of ``least`` words or
-``LEAST_CHARS`` code points do, so that lines of unspaced scripts count as well,
-and the sentences of a line also count joined until they have ``least`` words.
+Defined cases: null and empty texts have no units. Units of ``least`` words or
+``LEAST_CHARS`` code points count, so that lines of unspaced scripts count as well,
+and the sentences of a line also count joined until they have ``least`` words. With
+``lines``, as in the query, lines and paragraphs of any length count besides, but no
+short sentence inside a longer line, which says nothing about a copy. With ``short``
+units of every level and any length count, each sentence by itself.
 Passages have ``least`` tokens at least; in unspaced scripts each code point is a
 token. A row without doc_id ranks last; rows that repeat a doc_id rank by their
 place in the table. An empty table gives no rows; other columns are not read.
@@ -86,31 +88,34 @@ def _joined(text: str, start: int, end: int, least: int) -> list[tuple[int, int]
     return own
 
 
-def units(text: str | None, least: int = LEAST_WORDS, short: bool = False) -> list[tuple[int, int, int, str]]:
+def units(
+    text: str | None, least: int = LEAST_WORDS, short: bool = False, lines: bool = False
+) -> list[tuple[int, int, int, str]]:
     """(start, end, words, normalised) of the units of a text, by start and end."""
     text = text or ""
     spans: set[tuple[int, int]] = set()
+    whole: set[tuple[int, int]] = set()  # lines and paragraphs
     for paragraph in _PARAGRAPH.finditer(text):
-        spans.add(paragraph.span())
+        whole.add(paragraph.span())
         spans.update(m.span() for m in _SENTENCE.finditer(text, *paragraph.span()))
         spans.update(_passages(text, *paragraph.span(), least))
         for line in _LINE.finditer(text, *paragraph.span()):
-            spans.add(line.span())
+            whole.add(line.span())
             spans.update(m.span() for m in _SENTENCE.finditer(text, *line.span()))
             if not short:  # else each of the joined sentences counts by itself
                 spans.update(_joined(text, *line.span(), least))
     out = {}
-    for a, b in spans:
-        raw = text[a:b]
+    for a, b in spans | whole:
+        raw, any_length = text[a:b], short or lines and (a, b) in whole
         words = raw.lower().split()
         a += len(raw) - len(raw.lstrip())
         b = a + len(raw.strip())
-        if words and (short or len(words) >= least or b - a >= LEAST_CHARS):
+        if words and (any_length or len(words) >= least or b - a >= LEAST_CHARS):
             out[a, b] = (a, b, len(words), " ".join(words))
     return [out[k] for k in sorted(out)]
 
 
-def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -> DataFrame:
+def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, lines: bool = False) -> DataFrame:
     """doc_id, row, start, end, n_words and the digest (high, low) of every unit."""
 
     def run(batches):
@@ -118,7 +123,7 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -
             for at in range(0, len(b), TOGETHER):
                 part, rows = b.iloc[at : at + TOGETHER], []
                 for doc_id, row, text in zip(part["doc_id"].astype("Int64"), part["row"], part["text"]):
-                    for start, end, n, unit in units(text, least, short):
+                    for start, end, n, unit in units(text, least, short, lines):
                         d = hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest()
                         rows.append((doc_id, row, start, end, n, d))
                 digest = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
@@ -132,7 +137,9 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -
     return base.mapInPandas(run, "doc_id long, row long, start int, end int, n_words int, high long, low long")
 
 
-def repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, row: str | None = None) -> DataFrame:
+def repeats(
+    docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, row: str | None = None, lines: bool = False
+) -> DataFrame:
     """One row per removed unit.
 
     doc_id, start, end and n_words of the removed occurrence, kept_doc_id and
@@ -140,7 +147,7 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, row:
     a column of written row numbers; without it rows are numbered here.
     """
     docs = docs.select("doc_id", "text", *([F.col(row).alias(ROW)] if row else []))
-    table = written(unit_table(docs, least, short), "units")
+    table = written(unit_table(docs, least, short, lines), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     groups = (
         table.groupBy("high", "low")
@@ -157,7 +164,9 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, row:
     )
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, lines: bool = False
+) -> DataFrame:
     """``docs`` with repeated units cut out of ``text``, all columns kept, and the
     array ``removed`` of struct(start, end) in the original text.
 
@@ -165,7 +174,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = Fal
     """
     number = free(docs, ROW)
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    spans = repeats(rows, least, short, number).select(F.col("row").alias(number), "start", "end")
+    spans = repeats(rows, least, short, number, lines).select(F.col("row").alias(number), "start", "end")
     removed = spans.groupBy(number).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     @F.pandas_udf("string")
@@ -185,4 +194,4 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, short: bool = Fal
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True).drop("row")
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), lines=True).drop("row")
