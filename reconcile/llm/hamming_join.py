@@ -27,7 +27,9 @@ judged by their own text. An empty table gives no rows; other columns are not re
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations, count
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,8 @@ from .components import components, free, written
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 8, 4, 1, 16
 SLOTS = CHUNKS * SYMBOLS
+#: 64-bit words of a set's sketch, which holds for each bit whether an odd number of items falls on it.
+SKETCH = 16
 #: Pairs that agree in fewer places aren't confirmed: at a likeness of 0.8 the chance is 1e-8.
 LEAST_EQUAL = 12
 #: Row number of tables that are read more than once; made by the place in the table where it is missing.
@@ -117,6 +121,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (_mix(low) & np.uint64(2**BITS - 1)).astype(np.int32)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the items per bit; two sketches differ in at most as many bits as their sets in items."""
+    odd = np.bincount((_mix(hashes) >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _node(hashes: np.ndarray) -> int | None:
     if not len(hashes):
         return None
@@ -124,7 +134,7 @@ def _node(hashes: np.ndarray) -> int | None:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row, key, n_shingles, node (one id for each distinct set; null for empty) and sig."""
+    """doc_id, row, key, n_shingles, node (one id for each distinct set; null for empty), sig and sketch."""
 
     def run(batches):
         for b in batches:
@@ -135,10 +145,12 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 "key": b["key"],
                 "n_shingles": [len(h) for h in sets],
                 "node": pd.array([_node(h) for h in sets], dtype="Int64"),
-                "sig": [signature(h) if len(h) else None for h in sets],
+                "sig": [signature(h).astype(np.uint16).view(np.int16) if len(h) else None for h in sets],
+                "sketch": [sketch(h) if len(h) else None for h in sets],
             })
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, row long, key long, n_shingles long, node long, sig array<int>")
+    columns = "doc_id long, row long, key long, n_shingles long, node long, sig array<smallint>, sketch array<bigint>"
+    return _keyed(docs).mapInPandas(run, columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -172,14 +184,17 @@ def chunk_keys() -> list:
 
 
 def _candidate(percent: int):
-    """Condition on two members (suffix 1 and 2): sizes and signatures allow a link."""
+    """Condition on two members (suffix 1 and 2): sizes, sketches and signatures allow a link."""
     # what two sets share is at most what either shares with any other open set
     shared = F.lit(100 + percent) * F.least("common1", "common2") >= F.lit(percent) * (F.col("n1") + F.col("n2"))
+    # bits in which the sketches differ: no more than items that only one of the sets holds
+    apart = reduce(add, [F.bit_count(F.get("sketch1", F.lit(w)).bitwiseXOR(F.get("sketch2", F.lit(w)))) for w in range(SKETCH)])
     equal = F.aggregate(F.zip_with("sig1", "sig2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return (
         (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2"))
         & (F.col("node1") != F.col("node2"))
         & shared
+        & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("n1") + F.col("n2")))
         & (equal >= LEAST_EQUAL)
     )
 
@@ -195,7 +210,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _side(members: DataFrame, n: int, *more: str) -> DataFrame:
-    return members.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("node", "n", "common", "sig", *more)])
+    return members.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("node", "n", "common", "sig", "sketch", *more)])
 
 
 def _in_common(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,7 +287,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | N
     rows = written(features(docs, words), "features")
     nodes = written(
         rows.where("node is not null").groupBy("node")
-        .agg(F.min("key").alias("owner"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig")),
+        .agg(F.min("key").alias("owner"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("sketch").alias("sketch")),
         "nodes",
     )
     keys = nodes.select("node", F.posexplode(F.array(*chunk_keys())).alias("place", "key"))
@@ -282,7 +297,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | N
     owners = nodes.join(members.select("node").distinct(), "node").select("node", F.col("owner").alias("key"))
     sets = written(_sets(docs, owners, words), "sets")
     labels = _linked(members, sets, percent)
-    named = rows.drop("sig", "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = rows.drop("sig", "sketch", "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     first = named.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
     named = written(named, "named")
