@@ -201,6 +201,10 @@ def _candidate(percent: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) whose full sets reach the likeness."""
+    # written, so that Spark knows how few they are and moves no other sets
+    pairs = written(pairs, "pairs")
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    sets = sets.join(ends, "node")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
     both = F.size(F.array_intersect("a_items", "b_items"))
@@ -215,7 +219,8 @@ def _side(members: DataFrame, n: int, *more: str) -> DataFrame:
 
 def _in_common(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``members`` with ``common``: how many items of the node's set other members hold."""
-    items = sets.join(members.select("node").distinct(), "node").select("node", F.explode("items").alias("item"))
+    nodes = written(members.select("node").distinct(), "held")
+    items = sets.join(nodes, "node").select("node", F.explode("items").alias("item"))
     held = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("item")
     common = items.join(held, "item").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
     return members.drop("common").join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(0)))
