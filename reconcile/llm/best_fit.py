@@ -21,6 +21,7 @@ doc_id is packed like any other. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -79,7 +80,11 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a Python worker, with the words it remembers."""
+    """One encoder for all tasks of a Python worker, with the words it remembers.
+
+    Tasks keep the cores busy by themselves; threads of the tokenizer for single words would cost more than they gain.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
