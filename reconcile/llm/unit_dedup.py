@@ -28,7 +28,6 @@ place in the table. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import zlib
@@ -53,25 +52,52 @@ _SENTENCE = re.compile(rf"[^{_STOPS}]*[{_STOPS}]*")
 _TOKEN = re.compile(r"[^\s\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|\S")
 
 
-@functools.lru_cache(1 << 16)
-def _code(token: str) -> int:
-    return zlib.crc32(token.lower().encode("utf-8", "replace"))
+#: By code point: white space, and a token by itself.
+_SPACE, _SINGLE = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+_SPACE[[c for c in range(0x110000) if chr(c).isspace()]] = True
+for _first, _last in ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+    _SINGLE[_first : _last + 1] = True
+#: Tokens whose codes one Python worker remembers; above it the memory starts anew.
+REMEMBERED = 1 << 17
+
+
+class _Codes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        code = self[token] = zlib.crc32(token.lower().encode("utf-8", "replace"))
+        return code
+
+
+_codes = _Codes()
+
+
+def _tokens(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The tokens of a text with their starts and ends."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if raw.max(initial=0) >= 0xE00 and _SINGLE[raw].any():
+        spans = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+        return _TOKEN.findall(text), spans[:, 0], spans[:, 1]
+    space = np.concatenate(([True], _SPACE[raw], [True]))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return text.split(), edge[::2], edge[1::2]
 
 
 def _passages(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
     """Spans between cuts; a cut is where a pair of tokens hashes lowest among ``least - 1`` on either side."""
-    spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
-    n = len(spans) - 1
+    tokens, first, last = _tokens(text[start:end])
+    n = len(tokens) - 1
     if n < least:
         return []
-    code = np.array([_code(text[a:b]) for a, b in spans], np.uint64)
+    code = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
     h = (code[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     reach = max(least - 1, 1)
     most = np.full(reach, np.iinfo(np.uint64).max)
     around = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, h, most)), 2 * reach + 1)
     lowest = (h < around[:, :reach].min(axis=1)) & (h <= around[:, reach + 1 :].min(axis=1))
-    cuts = [0, *np.flatnonzero(lowest).tolist(), len(spans)]
-    return [(spans[a][0], spans[b - 1][1]) for a, b in zip(cuts, cuts[1:]) if b - a >= least]
+    cuts = np.concatenate(([0], np.flatnonzero(lowest), [len(tokens)]))
+    cuts = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a >= least]
+    return [(start + int(first[a]), start + int(last[b - 1])) for a, b in cuts]
 
 
 def _joined(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
@@ -97,21 +123,26 @@ def units(
     whole: set[tuple[int, int]] = set()  # lines and paragraphs
     for paragraph in _PARAGRAPH.finditer(text):
         whole.add(paragraph.span())
-        spans.update(m.span() for m in _SENTENCE.finditer(text, *paragraph.span()))
+        spans.update(m.span() for m in _SENTENCE.finditer(text, *paragraph.span()) if m.end() > m.start())
         spans.update(_passages(text, *paragraph.span(), least))
         for line in _LINE.finditer(text, *paragraph.span()):
             whole.add(line.span())
-            spans.update(m.span() for m in _SENTENCE.finditer(text, *line.span()))
+            if line.span() != paragraph.span():
+                spans.update(m.span() for m in _SENTENCE.finditer(text, *line.span()) if m.end() > m.start())
             if not short:  # else each of the joined sentences counts by itself
                 spans.update(_joined(text, *line.span(), least))
     out = {}
     for a, b in spans | whole:
         raw, any_length = text[a:b], short or lines and (a, b) in whole
-        words = raw.lower().split()
-        a += len(raw) - len(raw.lstrip())
-        b = a + len(raw.strip())
-        if words and (any_length or len(words) >= least or b - a >= LEAST_CHARS):
-            out[a, b] = (a, b, len(words), " ".join(words))
+        if raw[0].isspace() or raw[-1].isspace():
+            a += len(raw) - len(raw.lstrip())
+            raw = raw.strip()
+            b = a + len(raw)
+        if not raw or (a, b) in out:  # spans that differ in spaces around them
+            continue
+        words = raw.lower().split() if any_length or b - a >= LEAST_CHARS else raw.split()
+        if any_length or b - a >= LEAST_CHARS or len(words) >= least:
+            out[a, b] = (a, b, len(words), " ".join(words).lower() if b - a < LEAST_CHARS else " ".join(words))
     return [out[k] for k in sorted(out)]
 
 
@@ -121,14 +152,20 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, l
     def run(batches):
         for b in batches:
             for at in range(0, len(b), TOGETHER):
-                part, rows = b.iloc[at : at + TOGETHER], []
-                for doc_id, row, text in zip(part["doc_id"].astype("Int64"), part["row"], part["text"]):
+                part, rows, digests, counts = b.iloc[at : at + TOGETHER], [], [], []
+                for text in part["text"]:
                     for start, end, n, unit in units(text, least, short, lines):
                         d = hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest()
-                        rows.append((doc_id, row, start, end, n, d))
-                digest = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
-                out = pd.DataFrame([r[:5] for r in rows], columns=["doc_id", "row", "start", "end", "n_words"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"), high=digest[:, 0], low=digest[:, 1])
+                        rows.append((start, end, n))
+                        digests.append(d)
+                    counts.append(len(rows))
+                place = np.array(rows, np.int64).reshape(-1, 3)
+                digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                of = np.repeat(np.arange(len(part)), np.diff(counts, prepend=0))
+                out = pd.DataFrame(place, columns=["start", "end", "n_words"])
+                out.insert(0, "doc_id", part["doc_id"].astype("Int64").array[of])
+                out.insert(1, "row", part["row"].to_numpy()[of])
+                yield out.assign(high=digest[:, 0], low=digest[:, 1])
 
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),

@@ -40,3 +40,24 @@ def test_short_lines_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in unit_dedup.repeats(docs, lines=True).collect()}
     assert got == want
+
+
+def test_tokens_of_spaced_and_unspaced_scripts():
+    for text in ("", " ", "a", " Foo  bar\tx. y\x1cz ", "‘a’ b　c", "ab本語c d", "\U00020000e กข"):
+        tokens, first, last = unit_dedup._tokens(text)
+        assert tokens == unit_dedup._TOKEN.findall(text)
+        assert [*zip(first.tolist(), last.tolist())] == [m.span() for m in unit_dedup._TOKEN.finditer(text)]
+
+
+def test_sentences_of_a_single_line_are_scanned_once(monkeypatch):
+    scanned = []
+
+    class Counted:
+        def finditer(self, *at):
+            scanned.append(at)
+            return sentence.finditer(*at)
+
+    sentence = unit_dedup._SENTENCE
+    monkeypatch.setattr(unit_dedup, "_SENTENCE", Counted())
+    assert unit_dedup.units("one two. three four.", short=True)
+    assert len(scanned) == 1
