@@ -14,8 +14,10 @@ the keys of the first chunk each meets one member; links are confirmed and
 contracted into components. From then on only keys with several components are
 looked at: a few members meet those of other components, first from the key's
 largest component, then from outside it in growing numbers, with a contraction
-after each round, until no key holds two components that haven't met. A key with
-thousands of near copies is done after a few linear rounds, and no link is lost.
+after each round, until no key holds two components that haven't met. After the first
+rounds a set whose items are too rarely held outside its component to reach the
+likeness with any set leaves its keys. A key with thousands of near copies is done
+after a few linear rounds, and no link is lost.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: fewer
 words than a shingle: the whole sequence is one shingle; no words or null text:
@@ -213,17 +215,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * both >= F.lit(percent) * either).select("a", "b")
 
 
-def _side(members: DataFrame, n: int, *more: str) -> DataFrame:
-    return members.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("node", "n", "common", "sig", "sketch", *more)])
+def _side(members: DataFrame, marks: DataFrame, n: int, *more: str) -> DataFrame:
+    """``members`` (key, node) with what a comparison looks at, from ``marks`` (node, n, sig, sketch)."""
+    marked = members.join(marks, "node")
+    if "common" not in members.columns:
+        marked = marked.withColumn("common", F.col("n"))
+    return marked.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("node", "n", "common", "sig", "sketch", *more)])
 
 
-def _in_common(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` with ``common``: how many items of the node's set other members hold."""
-    nodes = written(members.select("node").distinct(), "held")
-    items = sets.join(nodes, "node").select("node", F.explode("items").alias("item"))
-    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("item")
-    common = items.join(held, "item").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    return members.drop("common").join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+def _open(named: DataFrame) -> DataFrame:
+    """The rows of ``named`` (key, node, component) under keys that hold several components."""
+    ranges = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(ranges.where("low < high").select("key"), "key")
+
+
+def _linkable(members: DataFrame, marks: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` (key, node, component) that may have a link to another component, with ``common``;
+    and the items of their sets that count, which are the next round's ``items`` (first: the sets).
+
+    ``common`` is how many items of the node's set are held by members of other components: no
+    link shares more, and a set that shares less than its part of the likeness has none.
+    """
+    held = written(members.select("node", "component").distinct(), "held")
+    items = items.join(held, "node")
+    if "items" in items.columns:
+        items = items.select("node", "component", F.explode("items").alias("item"))
+    holders = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # components only merge and members only leave, so other items never count again
+    items = written(items.join(holders.where("low < high").select("item"), "item").select("node", "item"), "items")
+    common = items.groupBy("node").agg(F.count(F.lit(1)).alias("common")).join(marks.select("node", "n"), "node")
+    enough = F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")
+    return members.join(written(common.where(enough).select("node", "common"), "common"), "node"), items
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -239,32 +261,34 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(renamed.union(new), "labels")
 
 
-def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of all nodes with a link."""
+def _linked(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all nodes with a link, from ``members`` (key, node, chunk).
+
+    Only the two sides of a join carry signatures and sketches."""
     pair = lambda df: df.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
     # one member per key of the first chunk meets the others; most copies are joined here
-    chunk = members.where("chunk = 0")
+    chunk = members.where("chunk = 0").select("key", "node")
     first = chunk.groupBy("key").agg(F.min("node").alias("node"))
-    pivots = chunk.join(first, ["key", "node"])
-    pairs = pair(_side(chunk, 1).join(_side(pivots, 2), "key").where(_candidate(percent)))
+    pairs = pair(_side(chunk, marks, 1).join(_side(first, marks, 2), "key").where(_candidate(percent)))
     labels = components(_confirmed(pairs, sets, percent))
-    members = members.join(first, ["key", "node"], "left_anti")
+    members = members.select("key", "node").join(first, ["key", "node"], "left_anti")
+    items = sets
     for round_ in count():
         # all rows of keys that still hold nodes of several components
         named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        ranges = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = written(named.join(ranges.where("low < high").select("key"), "key"), "open")
+        open_ = written(_open(named), "open")
+        inner = round_ < INNER_ROUNDS
+        if not inner and not open_.isEmpty():
+            # few sets are left: an exact bound on what a set can share spares most of them
+            linkable, items = _linkable(open_, marks, items, percent)
+            open_ = written(_open(linkable), "linkable")
         if open_.isEmpty():
             return labels
-        if round_ >= INNER_ROUNDS:
-            # few sets are left: an exact bound on what a pair can share spares most of the pairs
-            open_ = written(_in_common(open_, sets), "open")
         sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
         # members of the largest component meet the few outside it; those that
         # stay outside after some rounds then meet all others, ever more at once
         outside = F.col("component") != F.col("largest")
-        inner = round_ < INNER_ROUNDS
         meeting = MEETING if inner else MEETING ** (round_ - INNER_ROUNDS + 1)
         order = Window.partitionBy("key").orderBy(outside if inner else ~outside, "node")
         ranked = open_.join(largest, "key").withColumn("__n", F.row_number().over(order))
@@ -274,11 +298,11 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             few = open_.join(few.select("node").distinct(), "node")
         few = written(few, "meeting")
         pairs = pair(
-            _side(open_, 1, "component").join(_side(few, 2, "component"), "key")
+            _side(open_, marks, 1, "component").join(_side(few, marks, 2, "component"), "key")
             .where((F.col("component1") != F.col("component2")) & _candidate(percent))
         )
         labels = _merged(labels, written(_confirmed(pairs, sets, percent), "links"))
-        members = open_.drop("component").join(few.select("key", "node"), ["key", "node"], "left_anti")
+        members = open_.select("key", "node").join(few.select("key", "node"), ["key", "node"], "left_anti")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
@@ -298,10 +322,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | N
     keys = nodes.select("node", F.posexplode(F.array(*chunk_keys())).alias("place", "key"))
     keys = keys.select("node", "key", F.expr(f"place div {len(chunk_keys()) // CHUNKS}").cast("int").alias("chunk"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = written(keys.join(shared, "key").join(nodes.drop("owner").withColumn("common", F.col("n")), "node"), "members")
-    owners = nodes.join(members.select("node").distinct(), "node").select("node", F.col("owner").alias("key"))
-    sets = written(_sets(docs, owners, words), "sets")
-    labels = _linked(members, sets, percent)
+    members = written(keys.join(shared, "key"), "members")
+    marks = written(nodes.join(members.select("node").distinct(), "node"), "marks")
+    sets = written(_sets(docs, marks.select("node", F.col("owner").alias("key")), words), "sets")
+    labels = _linked(members, marks.drop("owner"), sets, percent)
     named = rows.drop("sig", "sketch", "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     first = named.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))

@@ -57,3 +57,34 @@ def test_sketch_condition_keeps_every_link(spark):
         if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
     }
     assert linked and linked <= found
+
+
+def test_sets_too_far_from_all_others_leave_their_keys(spark, monkeypatch):
+    # copies of which no two are linked, one chain of links among them and sets that share less still
+    texts = _copies(70, 9) + _copies(12, 2, seed=7) + _copies(30, 20, seed=9)
+    open_nodes, exploded, linkable = [], [], hamming_join._linkable
+
+    def counted(members, marks, items, percent):
+        exploded.append("items" in items.columns)
+        left, items = linkable(members, marks, items, percent)
+        open_nodes.append((members.select("node").distinct().count(), left.select("node").distinct().count()))
+        return left, items
+
+    monkeypatch.setattr(hamming_join, "_linkable", counted)
+    got = {r.doc_id: r.component_id for r in hamming_join.near_groups(docs_of(spark, texts), words=2).collect()}
+    want = brute_components(texts, 2)[0]
+    assert [got[i] for i in sorted(got)] == want and len(set(want)) < len(texts)
+    assert open_nodes and all(left < open_ for open_, left in open_nodes[:1])
+    assert exploded == [True] + [False] * (len(exploded) - 1)  # full sets only once
+
+
+def test_members_carry_no_sketches_between_joins(spark, monkeypatch):
+    tables, write = {}, hamming_join.written
+
+    def kept(df, name):
+        tables.setdefault(name, set()).update(df.columns)
+        return write(df, name)
+
+    monkeypatch.setattr(hamming_join, "written", kept)
+    hamming_join.near_groups(docs_of(spark, _copies(30, 9)), words=2).collect()
+    assert all(not {"sig", "sketch"} & tables[t] for t in ("members", "open", "meeting"))
