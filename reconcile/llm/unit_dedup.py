@@ -28,9 +28,9 @@ place in the table. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
+from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -65,17 +65,22 @@ class _Codes(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        code = self[token] = zlib.crc32(token.lower().encode("utf-8", "replace"))
+        code = self[token] = crc32(token.lower().encode("utf-8", "replace"))
         return code
 
 
 _codes = _Codes()
 
 
+def _unspaced(raw: np.ndarray) -> bool:
+    """Whether any of the code points is a token by itself."""
+    return bool(raw.max(initial=0) >= 0xE00 and _SINGLE[raw].any())
+
+
 def _tokens(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The tokens of a text with their starts and ends."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if raw.max(initial=0) >= 0xE00 and _SINGLE[raw].any():
+    if _unspaced(raw):
         spans = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
         return _TOKEN.findall(text), spans[:, 0], spans[:, 1]
     space = np.concatenate(([True], _SPACE[raw], [True]))
@@ -83,67 +88,124 @@ def _tokens(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return text.split(), edge[::2], edge[1::2]
 
 
-def _passages(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
-    """Spans between cuts; a cut is where a pair of tokens hashes lowest among ``least - 1`` on either side."""
-    tokens, first, last = _tokens(text[start:end])
-    n = len(tokens) - 1
+def _passages(code: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Token ranges between cuts; a cut is where a pair of tokens hashes lowest among ``least - 1`` on either side."""
+    n = len(code) - 1
     if n < least:
         return []
-    code = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
     h = (code[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     reach = max(least - 1, 1)
-    most = np.full(reach, np.iinfo(np.uint64).max)
-    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, h, most)), 2 * reach + 1)
-    lowest = (h < around[:, :reach].min(axis=1)) & (h <= around[:, reach + 1 :].min(axis=1))
-    cuts = np.concatenate(([0], np.flatnonzero(lowest), [len(tokens)]))
-    cuts = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a >= least]
-    return [(start + int(first[a]), start + int(last[b - 1])) for a, b in cuts]
+    padded = np.full(n + 2 * reach, np.iinfo(np.uint64).max)
+    padded[reach : reach + n] = h
+    before, after = padded[:n].copy(), padded[reach + 1 : reach + 1 + n].copy()
+    for j in range(1, reach):
+        np.minimum(before, padded[j : j + n], out=before)
+        np.minimum(after, padded[reach + 1 + j : reach + 1 + j + n], out=after)
+    cuts = [0, *np.flatnonzero((h < before) & (h <= after)).tolist(), len(code)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= least]
+
 
+def _within(first: np.ndarray, last: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts into which ``cuts`` cut the spans from ``first`` to ``last``; all ascend, spans lie apart."""
+    at = np.searchsorted(first, cuts, "left") - 1
+    inside = cuts[(at >= 0) & (cuts < last[at])]
+    return np.sort(np.concatenate((first, inside))), np.sort(np.concatenate((last, inside)))
 
-def _joined(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
+
+def _joined(ends: list[int], words: list[int], start: int, least: int) -> list[tuple[int, int]]:
     """Sentences of a line joined until they have ``least`` words; a short rest joins the unit before it."""
     own: list[tuple[int, int]] = []
-    words, at = 0, start
-    for m in _SENTENCE.finditer(text, start, end):
-        words += len(m.group().split())
-        if words >= least:
-            own.append((at, m.end()))
-            words, at = 0, m.end()
-    if words and own:
-        own[-1] = (own[-1][0], end)
+    total, at = 0, start
+    for end, n in zip(ends, words):
+        total += n
+        if total >= least:
+            own.append((at, end))
+            total, at = 0, end
+    if total and own:
+        own[-1] = (own[-1][0], ends[-1])
     return own
 
 
+def _spans(matches) -> np.ndarray:
+    return np.array([m.span() for m in matches], np.int64).reshape(-1, 2)
+
+
+def _lower(text: str) -> str | None:
+    """``text`` in lower case where every part of it is lower-cased like the whole and keeps its places; else None."""
+    low = text.lower()
+    return low if len(low) == len(text) and "\u03a3" not in text else None  # a capital sigma depends on what follows
+
+
+def _units(text: str, least: int, short: bool, lines: bool) -> tuple[np.ndarray, list[str]]:
+    """(start, end, words) of the units of a text, by start and end, and their normalised texts."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.concatenate(([True], _SPACE[raw], [True]))
+    edge = np.flatnonzero(edge[1:] != edge[:-1])
+    first, last = edge[::2], edge[1::2]  # of words
+    if not len(first):
+        return np.zeros((0, 3), np.int64), []
+    lower = _lower(text)
+    whole = None if lower is None else " ".join(lower.split())
+
+    def reach(start, end):
+        """Numbers of the first word that ends after ``start`` and of the last that starts before ``end``."""
+        return np.searchsorted(last, start, "right"), np.searchsorted(first, end, "left") - 1
+
+    paragraph, line = _spans(_PARAGRAPH.finditer(text)), _spans(_LINE.finditer(text))
+    stops = np.array([m.end() for m in _SENTENCE.finditer(text)], np.int64)
+    found = [paragraph, line, np.stack(_within(paragraph[:, 0], paragraph[:, 1], stops), axis=1)]
+    start, end = _within(line[:, 0], line[:, 1], stops)
+    found.append(np.stack((start, end), axis=1))
+    if not short:  # else each of the joined sentences counts by itself
+        low, high = reach(start, end)
+        words, ends = (high - low + 1).tolist(), end.tolist()
+        of = [*np.searchsorted(start, line[:, 0]).tolist(), len(start)]
+        joined = [
+            span for at, a, b in zip(line[:, 0].tolist(), of[:-1], of[1:]) if b - a > 1
+            for span in _joined(ends[a:b], words[a:b], at, least)
+        ]
+        found.append(np.array(joined, np.int64).reshape(-1, 2))
+    if whole is None or _unspaced(raw):
+        tokens, starts, stopped = _tokens(text)
+        code = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+    else:  # tokens are the words; most are met once, so their codes aren't looked up
+        starts, stopped = first, last
+        code = np.fromiter(map(crc32, whole.encode("utf-8", "replace").split(b" ")), np.uint64, len(first))
+    for a, b in zip(*(np.searchsorted(starts, paragraph[:, k]).tolist() for k in (0, 1))):
+        if b - a > least:
+            cut = np.array(_passages(code[a:b], least), np.int64).reshape(-1, 2) + a
+            found.append(np.stack((starts[cut[:, 0]], stopped[cut[:, 1] - 1]), axis=1))
+
+    spans = np.concatenate(found)
+    size = len(raw) + 1
+    place = spans[:, 0] * size + spans[:, 1]
+    any_length = np.full(len(spans), short)
+    if lines:
+        any_length |= np.isin(place, place[: len(paragraph) + len(line)])
+    low, high = reach(spans[:, 0], spans[:, 1])
+    kept = np.flatnonzero(low <= high)  # others are spaces alone
+    low, high = low[kept], high[kept]
+    start, end = np.maximum(spans[kept, 0], first[low]), np.minimum(spans[kept, 1], last[high])
+    words = high - low + 1
+    counted = np.flatnonzero(any_length[kept] | (end - start >= LEAST_CHARS) | (words >= least))
+    # spans may differ in spaces around them
+    one = counted[np.unique((start * size + end)[counted], return_index=True)[1]]
+    start, end, words, low, high = (x[one] for x in (start, end, words, low, high))
+    if whole is None:
+        texts = [" ".join(text[a:b].lower().split()) for a, b in zip(start.tolist(), end.tolist())]
+    else:
+        at = np.cumsum(last - first + 1) - (last - first + 1)  # places of words in it
+        cut = zip((at[low] + start - first[low]).tolist(), (at[high] + end - first[high]).tolist())
+        texts = [whole[a:b] for a, b in cut]
+    return np.stack((start, end, words), axis=1), texts
+
+
 def units(
     text: str | None, least: int = LEAST_WORDS, short: bool = False, lines: bool = False
 ) -> list[tuple[int, int, int, str]]:
     """(start, end, words, normalised) of the units of a text, by start and end."""
-    text = text or ""
-    spans: set[tuple[int, int]] = set()
-    whole: set[tuple[int, int]] = set()  # lines and paragraphs
-    for paragraph in _PARAGRAPH.finditer(text):
-        whole.add(paragraph.span())
-        spans.update(m.span() for m in _SENTENCE.finditer(text, *paragraph.span()) if m.end() > m.start())
-        spans.update(_passages(text, *paragraph.span(), least))
-        for line in _LINE.finditer(text, *paragraph.span()):
-            whole.add(line.span())
-            if line.span() != paragraph.span():
-                spans.update(m.span() for m in _SENTENCE.finditer(text, *line.span()) if m.end() > m.start())
-            if not short:  # else each of the joined sentences counts by itself
-                spans.update(_joined(text, *line.span(), least))
-    out = {}
-    for a, b in spans | whole:
-        raw, any_length = text[a:b], short or lines and (a, b) in whole
-        if raw[0].isspace() or raw[-1].isspace():
-            a += len(raw) - len(raw.lstrip())
-            raw = raw.strip()
-            b = a + len(raw)
-        if not raw or (a, b) in out:  # spans that differ in spaces around them
-            continue
-        words = raw.lower().split() if any_length or b - a >= LEAST_CHARS else raw.split()
-        if any_length or b - a >= LEAST_CHARS or len(words) >= least:
-            out[a, b] = (a, b, len(words), " ".join(words).lower() if b - a < LEAST_CHARS else " ".join(words))
-    return [out[k] for k in sorted(out)]
+    places, texts = _units(text or "", least, short, lines)
+    return [(*place, unit) for place, unit in zip(places.tolist(), texts)]
 
 
 def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, lines: bool = False) -> DataFrame:
@@ -152,16 +214,15 @@ def unit_table(docs: DataFrame, least: int = LEAST_WORDS, short: bool = False, l
     def run(batches):
         for b in batches:
             for at in range(0, len(b), TOGETHER):
-                part, rows, digests, counts = b.iloc[at : at + TOGETHER], [], [], []
+                part, places, digests = b.iloc[at : at + TOGETHER], [], []
                 for text in part["text"]:
-                    for start, end, n, unit in units(text, least, short, lines):
-                        d = hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest()
-                        rows.append((start, end, n))
-                        digests.append(d)
-                    counts.append(len(rows))
-                place = np.array(rows, np.int64).reshape(-1, 3)
+                    place, own = _units(text or "", least, short, lines)
+                    places.append(place)
+                    digests += [blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest() for unit in own]
+                counts = [len(place) for place in places]
+                place = np.concatenate(places)
                 digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                of = np.repeat(np.arange(len(part)), np.diff(counts, prepend=0))
+                of = np.repeat(np.arange(len(part)), counts)
                 out = pd.DataFrame(place, columns=["start", "end", "n_words"])
                 out.insert(0, "doc_id", part["doc_id"].astype("Int64").array[of])
                 out.insert(1, "row", part["row"].to_numpy()[of])

@@ -61,3 +61,19 @@ def test_sentences_of_a_single_line_are_scanned_once(monkeypatch):
     monkeypatch.setattr(unit_dedup, "_SENTENCE", Counted())
     assert unit_dedup.units("one two. three four.", short=True)
     assert len(scanned) == 1
+
+
+def test_words_of_spaced_texts_are_not_looked_up_one_by_one():
+    unit_dedup._codes.clear()
+    assert unit_dedup.units(" ".join(f"w{i}" for i in range(50)))
+    assert not unit_dedup._codes
+
+
+def test_units_are_normalised_each_by_itself():
+    # a capital sigma is lower-cased by what follows, a dotted capital I grows
+    for text in ("ΑΣ.Β end of a line\nΑΣ. ", "İx y. İ  Z!\n\nİx", "A  b\tC. d\x0b\x1cE", "Ab本語. C\r\nd", "‘A’　B.. c"):
+        got = unit_dedup.units(text, 3, short=True)
+        assert got == sorted(got) and len({g[:2] for g in got}) == len(got)
+        for start, end, n, unit in got:
+            words = text[start:end].lower().split()
+            assert (n, unit) == (len(words), " ".join(words)) and text[start:end].strip() == text[start:end]
