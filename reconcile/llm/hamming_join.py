@@ -231,21 +231,22 @@ def _open(named: DataFrame) -> DataFrame:
 
 def _linkable(members: DataFrame, marks: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``members`` (key, node, component) that may have a link to another component, with ``common``;
-    and the items of their sets that count, which are the next round's ``items`` (first: the sets).
+    and the items of their sets that count, one row per node, which are the next round's ``items`` (first: the sets).
 
     ``common`` is how many items of the node's set are held by members of other components: no
     link shares more, and a set that shares less than its part of the likeness has none.
     """
     held = written(members.select("node", "component").distinct(), "held")
-    items = items.join(held, "node")
-    if "items" in items.columns:
-        items = items.select("node", "component", F.explode("items").alias("item"))
+    own = "items" if "items" in items.columns else "shared"
+    items = items.join(held, "node").select("node", "component", F.explode(own).alias("item"))
     holders = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     # components only merge and members only leave, so other items never count again
-    items = written(items.join(holders.where("low < high").select("item"), "item").select("node", "item"), "items")
-    common = items.groupBy("node").agg(F.count(F.lit(1)).alias("common")).join(marks.select("node", "n"), "node")
+    shared = items.join(holders.where("low < high").select("item"), "item").groupBy("node").agg(F.collect_list("item").alias("shared"))
+    common = shared.withColumn("common", F.size("shared")).join(marks.select("node", "n"), "node")
     enough = F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")
-    return members.join(written(common.where(enough).select("node", "common"), "common"), "node"), items
+    items = written(common.where(enough).select("node", "common", "shared"), "items")
+    # written, as finding the keys still open reads it twice
+    return written(members.join(items.select("node", "common"), "node"), "linkable"), items.select("node", "shared")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def _linked(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
         if not inner and not open_.isEmpty():
             # few sets are left: an exact bound on what a set can share spares most of them
             linkable, items = _linkable(open_, marks, items, percent)
-            open_ = written(_open(linkable), "linkable")
+            open_ = written(_open(linkable), "open")
         if open_.isEmpty():
             return labels
         sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))

@@ -88,3 +88,18 @@ def test_members_carry_no_sketches_between_joins(spark, monkeypatch):
     monkeypatch.setattr(hamming_join, "written", kept)
     hamming_join.near_groups(docs_of(spark, _copies(30, 9)), words=2).collect()
     assert all(not {"sig", "sketch"} & tables[t] for t in ("members", "open", "meeting"))
+
+
+def test_items_meet_their_component_once_per_set(spark, monkeypatch):
+    # each round reads one row per open set, not one per item; only sets that may still be linked stay
+    texts = _copies(70, 9) + _copies(12, 2, seed=7) + _copies(30, 20, seed=9)
+    rounds, linkable = [], hamming_join._linkable
+
+    def counted(members, marks, items, percent):
+        left, items = linkable(members, marks, items, percent)
+        rounds.append((items.count(), left.select("node").distinct().count(), members.select("node").distinct().count()))
+        return left, items
+
+    monkeypatch.setattr(hamming_join, "_linkable", counted)
+    hamming_join.near_groups(docs_of(spark, texts), words=2).collect()
+    assert rounds and all(rows == nodes <= before for rows, nodes, before in rounds)
