@@ -9,11 +9,11 @@ from reconcile.session import work_path
 
 
 def _bounded(spark: SparkSession) -> None:
-    """Whole texts go to Python workers in batches of a few megabytes, unless the cluster
-    says otherwise; a worker then holds little besides its model."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext.getConf().get(key) is None:
-        spark.conf.set(key, "4m")
+    """Whole texts are read and go to Python workers in batches of a few megabytes, unless the
+    cluster says otherwise; a worker then holds little besides its model."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "4m"), ("spark.sql.parquet.columnarReaderBatchSize", "1024")):
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import worker
 from .components import written
 
 CAPACITY = 4096
@@ -92,6 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """doc_id, piece, start, length, ids_crc32: documents cut at the capacity."""
 
     def run(batches):
+        worker.enter("packing", encoder.cache_clear)
         encode, last = encoder(tokenizer), array("I", [end]).tobytes()
         for b in batches:
             for at in range(0, len(b), TOGETHER):
@@ -104,6 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                         out.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
                 out = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        worker.release()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

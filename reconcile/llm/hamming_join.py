@@ -38,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import worker
 from .components import components, free, written
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 8, 4, 1, 16
@@ -139,6 +140,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, row, key, n_shingles, node (one id for each distinct set; null for empty), sig and sketch."""
 
     def run(batches):
+        worker.enter("near copies")
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
             yield pd.DataFrame({
@@ -150,6 +152,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 "sig": [signature(h).astype(np.uint16).view(np.int16) if len(h) else None for h in sets],
                 "sketch": [sketch(h) if len(h) else None for h in sets],
             })
+        worker.release()
 
     columns = "doc_id long, row long, key long, n_shingles long, node long, sig array<smallint>, sketch array<bigint>"
     return _keyed(docs).mapInPandas(run, columns)
@@ -168,9 +171,11 @@ def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
     """node and its full set for the nodes of ``owners`` (node, key), from the text of one row each."""
 
     def run(batches):
+        worker.enter("near copies")
         for b in batches:
             found = [(n, h) for n, t in zip(b["node"], b["text"]) if _node(h := shingles(t, words)) == n]
             yield pd.DataFrame({"node": [n for n, _ in found], "items": [h.view(np.int64) for _, h in found]})
+        worker.release()
 
     return _keyed(docs).join(owners, "key").select("node", "text").mapInPandas(run, "node long, items array<long>")
 

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import worker
 from .components import free
 
 LONGEST, SLOTS = 3, 1 << 14
@@ -126,6 +127,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
     texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def bits(batches):
+        worker.enter("language")
         for b in batches:
             rows = []
             for lang, text in zip(b["lang"], b["text"]):
@@ -145,6 +147,7 @@ def classify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document."""
 
     def run(batches):
+        worker.enter("language")
         for b in batches:
             lang, score = model.predict(list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "lang_pred": lang, "score": score})
@@ -166,6 +169,7 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def language(text: pd.Series) -> pd.Series:
+        worker.enter("language")
         if not model.languages:
             return pd.Series([None if letters(t) is None else "" for t in text], dtype=object)
         return pd.Series([lang if score > 0 else None for lang, score in zip(*model.predict(list(text)))], dtype=object)
