@@ -18,7 +18,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table below the shared folder."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # with the schema given, Spark needn't open a file to learn it
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in a few tasks for each core of the cluster at most, for tables that a round writes and
+    the next ones read: with many more tasks the files and not the rows would take the time."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -34,23 +41,27 @@ def components(links: DataFrame) -> DataFrame:
 
     Self links give a component of one; no links, no rows.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = written(both, "edges")
+    # both ways from one reading of the links, which may be a join
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct()
+    edges = written(gathered(both), "edges")
     labels = None
     while not edges.isEmpty():
-        to = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "targets")
+        to = written(gathered(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))), "targets")
         if labels is None:
             labels = to.select(F.col("a").alias("node"), F.col("to").alias("component"))
         else:
             moved = to.select(F.col("a").alias("component"), "to")
             labels = written(
-                labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")),
+                gathered(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))),
                 "labels",
             )
         ends = to.select(F.col("a").alias("b"), F.col("to").alias("b_to"))
         edges = written(
-            edges.join(to, "a").select(F.col("to").alias("a"), "b").distinct()
-            .join(ends, "b").select("a", F.col("b_to").alias("b")).where("a <> b").distinct(),
+            gathered(
+                edges.join(to, "a").select(F.col("to").alias("a"), "b").distinct()
+                .join(ends, "b").select("a", F.col("b_to").alias("b")).where("a <> b").distinct()
+            ),
             "edges",
         )
     if labels is None:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import worker
-from .components import components, free, written
+from .components import components, free, gathered, written
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 8, 4, 1, 16
 SLOTS = CHUNKS * SYMBOLS
@@ -209,11 +209,10 @@ def _candidate(percent: int):
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) whose full sets reach the likeness."""
     # written, so that Spark knows how few they are and moves no other sets
-    pairs = written(pairs, "pairs")
-    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-    sets = sets.join(ends, "node")
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
+    pairs = written(gathered(pairs), "pairs")
+    ends = lambda end: sets.join(pairs.select(F.col(end).alias("node")), "node", "left_semi")
+    left = ends("a").select(F.col("node").alias("a"), F.col("items").alias("a_items"))
+    right = ends("b").select(F.col("node").alias("b"), F.col("items").alias("b_items"))
     both = F.size(F.array_intersect("a_items", "b_items"))
     either = F.size("a_items") + F.size("b_items") - both
     joined = pairs.join(left, "a").join(right, "b")
@@ -229,29 +228,31 @@ def _side(members: DataFrame, marks: DataFrame, n: int, *more: str) -> DataFrame
 
 
 def _open(named: DataFrame) -> DataFrame:
-    """The rows of ``named`` (key, node, component) under keys that hold several components."""
-    ranges = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return named.join(ranges.where("low < high").select("key"), "key")
+    """The rows of ``named`` (key, node, component) under keys that hold several components, with the key's ``largest``."""
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    ranges = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("several"), F.max_by("component", F.struct("size", "component")).alias("largest")
+    )
+    return named.join(ranges.where("several > 1").select("key", "largest"), "key")
 
 
-def _linkable(members: DataFrame, marks: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _linkable(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``members`` (key, node, component) that may have a link to another component, with ``common``;
-    and the items of their sets that count, one row per node, which are the next round's ``items`` (first: the sets).
+    and one row (node, common) per node left.
 
     ``common`` is how many items of the node's set are held by members of other components: no
-    link shares more, and a set that shares less than its part of the likeness has none.
+    link shares more, and a set that shares less than its part of the likeness has none. Components
+    only merge and members only leave, so it stays a bound in all later rounds.
     """
-    held = written(members.select("node", "component").distinct(), "held")
-    own = "items" if "items" in items.columns else "shared"
-    items = items.join(held, "node").select("node", "component", F.explode(own).alias("item"))
+    held = written(gathered(members.select("node", "component").distinct()), "held")
+    items = sets.join(held, "node").select("node", "component", F.explode("items").alias("item"))
     holders = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    # components only merge and members only leave, so other items never count again
-    shared = items.join(holders.where("low < high").select("item"), "item").groupBy("node").agg(F.collect_list("item").alias("shared"))
-    common = shared.withColumn("common", F.size("shared")).join(marks.select("node", "n"), "node")
+    shared = items.join(holders.where("low < high").select("item"), "item").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    common = shared.join(marks.select("node", "n"), "node")
     enough = F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")
-    items = written(common.where(enough).select("node", "common", "shared"), "items")
+    left = written(gathered(common.where(enough).select("node", "common")), "common")
     # written, as finding the keys still open reads it twice
-    return written(members.join(items.select("node", "common"), "node"), "linkable"), items.select("node", "shared")
+    return written(gathered(members.join(left, "node")), "linkable"), left
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -264,7 +265,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     known = labels.select("component").distinct()
     new = moved.join(known, "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
     renamed = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return written(renamed.union(new), "labels")
+    return written(gathered(renamed.union(new)), "labels")
 
 
 def _linked(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,37 +279,34 @@ def _linked(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     pairs = pair(_side(chunk, marks, 1).join(_side(first, marks, 2), "key").where(_candidate(percent)))
     labels = components(_confirmed(pairs, sets, percent))
     members = members.select("key", "node").join(first, ["key", "node"], "left_anti")
-    items = sets
     for round_ in count():
         # all rows of keys that still hold nodes of several components
         named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = written(_open(named), "open")
+        open_ = written(gathered(_open(named)), "open")
         inner = round_ < INNER_ROUNDS
-        if not inner and not open_.isEmpty():
+        if round_ == INNER_ROUNDS and not open_.isEmpty():
             # few sets are left: an exact bound on what a set can share spares most of them
-            linkable, items = _linkable(open_, marks, items, percent)
-            open_ = written(_open(linkable), "open")
+            linkable, _ = _linkable(open_.drop("largest"), marks, sets, percent)
+            open_ = written(gathered(_open(linkable)), "open")
         if open_.isEmpty():
             return labels
-        sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
         # members of the largest component meet the few outside it; those that
         # stay outside after some rounds then meet all others, ever more at once
         outside = F.col("component") != F.col("largest")
         meeting = MEETING if inner else MEETING ** (round_ - INNER_ROUNDS + 1)
         order = Window.partitionBy("key").orderBy(outside if inner else ~outside, "node")
-        ranked = open_.join(largest, "key").withColumn("__n", F.row_number().over(order))
-        few = ranked.where(F.col("__n") <= meeting).drop("__n", "largest")
-        if not inner:
-            # a node that meets all others does so under all its keys at once, and only once
-            few = open_.join(few.select("node").distinct(), "node")
-        few = written(few, "meeting")
+        few = open_.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= meeting)
+        # later a node that meets all others does so under all its keys at once, and only once
+        by = ["key", "node"] if inner else ["node"]
+        few = written(gathered(few.select(by).distinct()), "meeting")
+        open_ = open_.drop("largest")
         pairs = pair(
-            _side(open_, marks, 1, "component").join(_side(few, marks, 2, "component"), "key")
+            _side(open_, marks, 1, "component").join(_side(open_.join(few, by, "left_semi"), marks, 2, "component"), "key")
             .where((F.col("component1") != F.col("component2")) & _candidate(percent))
         )
-        labels = _merged(labels, written(_confirmed(pairs, sets, percent), "links"))
-        members = open_.select("key", "node").join(few.select("key", "node"), ["key", "node"], "left_anti")
+        labels = _merged(labels, _confirmed(pairs, sets, percent))
+        # written, as finding the keys still open reads it twice
+        members = written(gathered(open_.drop("component").join(few, by, "left_anti")), "members")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
@@ -322,14 +320,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, row: str | N
     rows = written(features(docs, words), "features")
     nodes = written(
         rows.where("node is not null").groupBy("node")
-        .agg(F.min("key").alias("owner"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("sketch").alias("sketch")),
+        .agg(F.min("key").alias("owner"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("sketch").alias("sketch"))
+        .transform(gathered),
         "nodes",
     )
     keys = nodes.select("node", F.posexplode(F.array(*chunk_keys())).alias("place", "key"))
     keys = keys.select("node", "key", F.expr(f"place div {len(chunk_keys()) // CHUNKS}").cast("int").alias("chunk"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = written(keys.join(shared, "key"), "members")
-    marks = written(nodes.join(members.select("node").distinct(), "node"), "marks")
+    members = written(gathered(keys.join(shared, "key")), "members")
+    marks = written(gathered(nodes.join(members.select("node").distinct(), "node")), "marks")
     sets = written(_sets(docs, marks.select("node", F.col("owner").alias("key")), words), "sets")
     labels = _linked(members, marks.drop("owner"), sets, percent)
     named = rows.drop("sig", "sketch", "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

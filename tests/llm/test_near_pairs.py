@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_llm import brute_components, docs_of
 
-from reconcile.llm import hamming_join
+from reconcile.llm import components, hamming_join
 
 
 def _copies(n, edits, seed=0):
@@ -103,3 +103,34 @@ def test_items_meet_their_component_once_per_set(spark, monkeypatch):
     monkeypatch.setattr(hamming_join, "_linkable", counted)
     hamming_join.near_groups(docs_of(spark, texts), words=2).collect()
     assert rounds and all(rows == nodes <= before for rows, nodes, before in rounds)
+
+
+def test_rounds_write_few_files_and_items_are_bounded_once(spark, monkeypatch):
+    # with many shuffle partitions a table of a few rows isn't written, and read again, in as many tasks
+    texts = _copies(70, 9) + _copies(12, 2, seed=7) + _copies(30, 20, seed=9)
+    cores, files, bounded, linkable = spark.sparkContext.defaultParallelism, {}, [], hamming_join._linkable
+
+    def counted(write):
+        def run(df, name):
+            out = write(df, name)
+            files[name] = max(files.get(name, 0), len(out.inputFiles()))
+            return out
+
+        return run
+
+    for module in (hamming_join, components):
+        monkeypatch.setattr(module, "written", counted(module.written))
+    monkeypatch.setattr(hamming_join, "_linkable", lambda *args: bounded.append(args) or linkable(*args))
+    settings = {"spark.sql.shuffle.partitions": str(12 * cores), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in hamming_join.near_groups(docs_of(spark, texts), words=2).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [got[i] for i in sorted(got)] == brute_components(texts, 2)[0]
+    assert {"members", "open", "meeting", "pairs", "edges", "labels"} <= set(files)
+    assert all(n <= 4 * cores for name, n in files.items() if name not in ("features", "sets", "named")), files
+    assert len(bounded) == 1
